@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forewarn.operators.labels import label_horizons, label_windows
+from forewarn.operators.regimes import regime_membership
 from forewarn.operators.segments import assign_segments, segment_profile
+from forewarn.operators.sequences import resample_windows
 from forewarn.operators.splits import chronological_split, development_folds
 from forewarn.operators.validation import valid_rows, validate
 from forewarn.operators.windows import predictive_windows, window_features
+from forewarn.sources.sinks import stage_table
 from forewarn.sources.telemetry import coerce
 from forewarn.spec import EvaluationGrid, SequencePolicy, TelemetrySpec, ThresholdPolicy, WindowPolicy
 
@@ -112,3 +115,53 @@ class Study:
 
     def folds(self) -> DataFrame:
         return development_folds(self.predictive(), FOLDS)
+
+    def traces(self) -> DataFrame:
+        """Development and holdout predictions of every grid cell.
+
+        Scores are a fixed integer rule over the window's own data, so that every
+        engine computes the same ones: no model is involved.
+        """
+        development = (
+            self.folds().where(F.col("role") == "validation").drop("role")
+        )
+        holdout = self.split().where(F.col("split") == "test").drop("split").withColumn(
+            "fold", F.lit(None).cast("string")
+        )
+        columns = ["window_id", "segment_id", "window_index", "window_start", "window_end", "rows",
+                   "hours_to_next_failure", "fold"]
+        scored = label_horizons(
+            development.select(*columns).unionByName(holdout.select(*columns)), GRID.horizons
+        )
+        numbered = F.explode(
+            F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("m")) for i, m in enumerate(GRID.models, 1)])
+        )
+        seeds = F.explode(F.array(*[F.lit(s) for s in GRID.seeds]))
+        step = F.col("rows") * 7 + F.col("window_index") * 31 + F.col("seed") * 13 * F.col("_model.m")
+        return (
+            scored.withColumn("_model", numbered)
+            .withColumn("seed", seeds)
+            .select(
+                F.col("_model.model").alias("model"),
+                "horizon_hours",
+                "seed",
+                "fold",
+                "window_id",
+                "segment_id",
+                "window_start",
+                "window_end",
+                F.col("failure_within_horizon").alias("true_label"),
+                (F.pmod(step, F.lit(101)) / 100.0).alias("probability"),
+                "hours_to_next_failure",
+            )
+        )
+
+    def stored_traces(self) -> DataFrame:
+        """The traces as a stored stage: everything downstream reads them several times."""
+        return stage_table(self.traces(), "traces", ("model", "horizon_hours"))
+
+    def steps(self) -> DataFrame:
+        return resample_windows(self.segmented(), self.predictive(), self.spec, SEQUENCE, self.policy)
+
+    def regime_members(self, **options) -> DataFrame:
+        return regime_membership(self.labelled(), ONSETS, **options)
