@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +67,11 @@ class Study:
     sf_dir: str
     policy: WindowPolicy = WindowPolicy(3600, 1800, 1200, 0.5)
     spec: TelemetrySpec = CLEAN
+    window_table: DataFrame | None = None
+
+    def with_stored_windows(self) -> Study:
+        """The same study with its windows kept as a stage, for uses that read them several times."""
+        return replace(self, window_table=stage_table(self.windows(), "windows"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -99,6 +104,8 @@ class Study:
         return segment_profile(self.segmented(), self.spec)
 
     def windows(self) -> DataFrame:
+        if self.window_table is not None:
+            return self.window_table
         return window_features(self.segmented(), self.profile(), self.spec, self.policy)
 
     def labelled(self) -> DataFrame:
@@ -158,7 +165,7 @@ class Study:
 
     def stored_traces(self) -> DataFrame:
         """The traces as a stored stage: everything downstream reads them several times."""
-        return stage_table(self.traces(), "traces", ("model", "horizon_hours"))
+        return stage_table(self.with_stored_windows().traces(), "traces", ("model", "horizon_hours"))
 
     def steps(self) -> DataFrame:
         return resample_windows(self.segmented(), self.predictive(), self.spec, SEQUENCE, self.policy)

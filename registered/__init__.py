@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("telemetry", "windows", "sequences")
+_GROUPS = ("telemetry", "windows", "sequences", "evidence", "reports", "models")
 
 
 def _load():

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from forewarn.operators.normalizer import (
@@ -23,7 +21,7 @@ from forewarn.operators.sequences import (
     windows_without_source,
 )
 from forewarn.plans.events_study import CLEAN, SEQUENCE
-from forewarn.spec import SequencePolicy
+from forewarn.sources.sinks import stage_table
 from registered.base import query, rounded, sql
 
 CHANNELS = sequence_channels(CLEAN)
@@ -185,6 +183,7 @@ def ts13(study):
     ),
 )
 def jn5(study):
+    study = study.with_stored_windows()
     test = study.split().where(F.col("split") == "test").select("window_id")
     return study.steps().join(test, "window_id", "left_semi").select("window_id", "step", "value")
 
@@ -195,6 +194,7 @@ def jn5(study):
         " ON p.window_id = s.window_id WHERE p.split <> 'purged' GROUP BY 1", STEP_CTES),
 )
 def sp5(study):
+    study = study.with_stored_windows()
     sides = study.split().where(F.col("split") != "purged").select("window_id", "split")
     per_window = study.steps().groupBy("window_id").agg(F.count(F.lit(1)).alias("_steps"))
     return per_window.join(sides, "window_id").groupBy("split").agg(
@@ -202,9 +202,15 @@ def sp5(study):
     )
 
 
-def _parameters(study):
+def _stored(study):
+    """Windows and their sequences as stages: a fit reads both more than once."""
+    study = study.with_stored_windows()
+    return study, stage_table(study.steps(), "sequences")
+
+
+def _parameters(study, steps):
     training = study.split().where(F.col("split") == "train").select("window_id")
-    return fit_normalizer(study.steps(), training, CHANNELS, STANDARDIZED)
+    return fit_normalizer(steps, training, CHANNELS, STANDARDIZED)
 
 
 @query(
@@ -216,7 +222,7 @@ def _parameters(study):
     ),
 )
 def nm1(study):
-    return _parameters(study)
+    return _parameters(*_stored(study))
 
 
 @query(
@@ -235,6 +241,7 @@ def nm1_checks(study):
     """All windows offered as training ids: active-failure windows are unknown, test windows repeat."""
     from forewarn.operators.windows import window_id
 
+    study = study.with_stored_windows()
     offered = study.labelled().select(window_id(CLEAN).alias("window_id")).unionByName(
         study.split().where(F.col("split") == "test").select("window_id")
     )
@@ -284,4 +291,5 @@ def nm1_embeddings(study):
     ),
 )
 def nm2(study):
-    return apply_normalizer(study.steps(), _parameters(study), CHANNELS).select("window_id", "step", *CHANNELS)
+    study, steps = _stored(study)
+    return apply_normalizer(steps, _parameters(study, steps), CHANNELS).select("window_id", "step", *CHANNELS)
