@@ -38,6 +38,7 @@ from forewarn.operators.thresholds import (
     threshold_records,
 )
 from forewarn.plans.events_study import GRID, HOLDOUT_START, THRESHOLDS
+from forewarn.sources.sinks import stage_table
 from registered.base import query, rounded, sql
 
 STEP = 1800
@@ -184,7 +185,8 @@ def thresholds(traces):
 
 
 def decided(traces):
-    return apply_thresholds(holdout(traces), thresholds(traces), THRESHOLDS)
+    """Holdout rows with hard predictions: a stored stage, since every metric reads it."""
+    return stage_table(apply_thresholds(holdout(traces), thresholds(traces), THRESHOLDS), "decided")
 
 
 def metrics(traces):

@@ -1,0 +1,64 @@
+"""MLlib fits. They have no SQL counterpart; scores are checked to be probabilities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from forewarn.operators.labels import label_horizon
+from forewarn.operators.normalizer import apply_normalizer, fit_normalizer
+from forewarn.operators.scoring import (
+    TreeParameters,
+    assemble_features,
+    assemble_sequences,
+    feature_importance,
+    fit_trees,
+    run_cell,
+    run_tree_cell,
+    train_logistic,
+    with_class_weight,
+)
+from forewarn.operators.sequences import pack_sequences, sequence_channels
+from forewarn.plans.events_study import CLEAN, SEQUENCE
+from forewarn.sources.sinks import stage_table
+from registered.base import FEATURES, query
+
+# Fewer rounds than the default, so that a check of all queries stays short.
+TREES = TreeParameters(max_iterations=12, step_size=0.1, seed=42)
+HORIZON = 12
+
+
+@query("ml1_boosted_tree_cell")
+def ml1(study):
+    study = study.with_stored_windows()
+    folds = assemble_features(label_horizon(study.folds(), HORIZON), FEATURES)
+    split = assemble_features(label_horizon(study.split(), HORIZON), FEATURES)
+    trace, _ = run_tree_cell(stage_table(folds, "folds"), stage_table(split, "split"), HORIZON, TREES)
+    return trace
+
+
+@query("ml2_sequence_classifier_cell")
+def ml2(study):
+    study = study.with_stored_windows()
+    channels = sequence_channels(CLEAN)
+    split = label_horizon(study.split(), HORIZON)
+    steps = stage_table(study.steps(), "sequences")
+    ids = split.where(F.col("split") == "train").select("window_id")
+    fitted = fit_normalizer(steps, ids, channels, tuple(CLEAN.analogue))
+    packed = pack_sequences(apply_normalizer(steps, fitted, channels), CLEAN, SEQUENCE).select("window_id", "sequence")
+    rows = stage_table(assemble_sequences(packed.join(split, "window_id")), "vectors")
+    return run_cell(
+        train_logistic,
+        rows.where(F.col("split") == "train"),
+        rows.where(F.col("split") == "test"),
+        {"maxIter": 50},
+        model="tcn",
+        horizon_hours=HORIZON,
+        seed=42,
+    )
+
+
+@query("ml3_feature_importance")
+def ml3(study):
+    split = label_horizon(study.with_stored_windows().split(), HORIZON)
+    train = stage_table(assemble_features(split.where(F.col("split") == "train"), FEATURES), "train")
+    return feature_importance(study.spark, fit_trees(with_class_weight(train), TREES), FEATURES)
