@@ -91,14 +91,17 @@ def exact_percentiles(
     value: str,
     probabilities: Mapping[str, float],
     count: str | None = None,
+    keys_are_parameters: bool = True,
 ) -> DataFrame:
-    """Percentiles per key, for a bounded set of keys over any number of values.
+    """Percentiles per key over any number of values.
 
     Pass one counts rows per magnitude bucket and finds the few buckets that
     contain a wanted rank. Pass two looks only at rows of those buckets. The
-    bucket table that is broadcast holds at most ``2 * len(probabilities)`` rows
-    per key, and keys here are a parameter set (sensors, channels, grid cells),
-    so its size does not grow with the data. Keys must not be null.
+    bucket table holds at most ``2 * len(probabilities)`` rows per key. While the
+    keys are a parameter set (sensors, channels, grid cells) its size does not
+    grow with the data and it is broadcast; otherwise pass
+    ``keys_are_parameters=False`` and Spark picks the join by measured size.
+    Keys must not be null.
     """
     keys = list(keys)
     placed = (
@@ -119,7 +122,7 @@ def exact_percentiles(
     wanted = ranked.where(holds_rank).select(*keys, "_bucket", "_before", "_total")
 
     survivors = (
-        placed.join(F.broadcast(wanted), [*keys, "_bucket"])
+        placed.join(F.broadcast(wanted) if keys_are_parameters else wanted, [*keys, "_bucket"])
         .groupBy(*keys, "_bucket", "_before", "_total", value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )

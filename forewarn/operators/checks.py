@@ -171,27 +171,37 @@ def thresholds_per_group(thresholds: DataFrame, keys: Sequence[str] = ("model",
 
 
 def domain_check(df: DataFrame, expected: dict[str, Sequence]) -> DataFrame:
-    """Per column: whether its distinct values are exactly the expected set."""
-    sets = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in expected])
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(c).alias("found"),
-            F.array_sort(F.array(*[F.lit(str(v)) for v in values])).alias("expected"),
-        )
-        for c, values in expected.items()
-    ]
+    """Per column: expected values present and missing, and how many others occur.
+
+    Values are counted where they lie; no column's values are gathered in one place.
+    """
+    columns = list(expected)
+    values = (
+        df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+        .unpivot([], columns, "column_name", "found")
+        .groupBy("column_name", "found")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+    known = F.lit(False)
+    size = F.lit(0)
+    for column, wanted in expected.items():
+        here = F.col("column_name") == column
+        known = known | (here & F.col("found").isin(*[str(v) for v in wanted]))
+        size = F.when(here, len(set(wanted))).otherwise(size)
+    known = F.coalesce(known, F.lit(False))
     return (
-        sets.select(F.explode(F.array(*rows)).alias("r"))
-        .select("r.*")
-        .withColumn("matches", F.col("found") == F.col("expected"))
+        values.groupBy("column_name")
+        .agg(F.count_if(known).alias("present"), F.count_if(~known).alias("unexpected"))
+        .withColumn("missing", size - F.col("present"))
+        .withColumn("matches", (F.col("missing") == 0) & (F.col("unexpected") == 0))
     )
 
 
 def require_domain(df: DataFrame, expected: dict[str, Sequence]) -> DataFrame:
     """The same table; raises when a column does not hold exactly the expected values."""
     require_columns(df.columns, expected, "evidence table")
-    wrong = [row["column_name"] for row in domain_check(df, expected).where("not matches").collect()]
+    right = {row["column_name"] for row in domain_check(df, expected).where("matches").collect()}
+    wrong = set(expected) - right
     if wrong:
         raise ValueError(f"Unexpected values in: {', '.join(sorted(wrong))}")
     return df

@@ -26,6 +26,14 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("model",
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+def write_named_traces(traces: DataFrame, path: str) -> None:
+    """Write traces as gzip CSV, one folder ``<model>_h<hours>.csv`` per model and horizon."""
+    name = F.concat("model", F.lit("_h"), "horizon_hours", F.lit(".csv"))
+    traces.withColumn("name", name).drop("model", "horizon_hours").write.mode("overwrite").partitionBy(
+        "name"
+    ).option("header", True).option("compression", "gzip").csv(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Write a one-row report as JSON with the fields in schema order."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -32,6 +32,8 @@ THRESHOLD_SCHEMA = T.StructType(
     ]
 )
 
+_NAME = r"([^/=]+)_h(\d+)\.csv"
+
 # Columns of a stored trace file; the model and horizon may also sit in its name.
 _TRACE_TYPES = {
     "seed": "int",
@@ -46,14 +48,17 @@ _TRACE_TYPES = {
 
 
 def _named_traces(spark: SparkSession, pattern: str) -> DataFrame:
-    """CSV traces whose file name is ``<model>_h<hours>.csv[.gz]``; the last ``_h`` splits it."""
+    """CSV traces named ``<model>_h<hours>.csv[.gz]``, as a file or as a folder of part files.
+
+    The last ``_h`` of the name separates model and hours.
+    """
     raw = spark.read.csv(pattern, header=True)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     typed = {c: F.col(c).try_cast(kind) for c, kind in _TRACE_TYPES.items() if c in raw.columns}
     return raw.withColumns(
         {
-            "model": F.regexp_extract(name, r"^(.*)_h(\d+)\.csv", 1),
-            "horizon_hours": F.regexp_extract(name, r"^(.*)_h(\d+)\.csv", 2).cast("int"),
+            "model": F.regexp_extract(name, _NAME, 1),
+            "horizon_hours": F.regexp_extract(name, _NAME, 2).cast("int"),
         }
         | typed
     )
@@ -83,9 +88,9 @@ def load_trace(spark: SparkSession, path: str, model: str, horizon_hours: int, e
     )
 
 
-def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """Nested threshold records from JSON (a list of records or one per line)."""
-    return spark.read.schema(THRESHOLD_SCHEMA).json(path, multiLine=True)
+def read_thresholds(spark: SparkSession, path: str, one_document: bool = False) -> DataFrame:
+    """Nested threshold records from JSON: one per line, or one document holding a list."""
+    return spark.read.schema(THRESHOLD_SCHEMA).json(path, multiLine=one_document)
 
 
 def load_metrics(metrics: DataFrame, grid: EvaluationGrid) -> DataFrame:

@@ -29,9 +29,9 @@ from forewarn.operators.reports import (
     seed_band,
 )
 from forewarn.operators.thresholds import threshold_records
-from forewarn.plans.audit import audit_report
+from forewarn.plans.audit import audit_report, audit_tables, write_audit
 from forewarn.plans.events_study import FAILURES, GRID, HOLDOUT_START, ONSETS, THRESHOLDS
-from forewarn.sources.sinks import fresh_path, stage_table, write_partitioned, write_report
+from forewarn.sources.sinks import fresh_path, stage_table, write_named_traces, write_partitioned
 from forewarn.sources.traces import read_thresholds, scan_named_traces, scan_trace
 from forewarn.spec import EVENT_LABELS, MODEL_LABELS
 from registered.base import FEATURES, ONSET_ROWS, query, rounded, sql
@@ -74,32 +74,11 @@ TRACE_COLUMNS = "model, horizon_hours, seed, window_id, segment_id, true_label,
 def src4(study):
     """Traces written as gzip CSV per (model, horizon) and read back by file name."""
     traces, root = study.stored_traces(), fresh_path(study.spark, "named-traces")
-    for folder, rows in (("development", development(traces)), ("holdout", holdout(traces))):
-        for model in GRID.models:
-            for hours in GRID.horizons:
-                part = filter_rows(rows, model=model, horizon_hours=hours).drop("model", "horizon_hours")
-                part.write.option("header", True).option("compression", "gzip").csv(
-                    f"{root}/parts/{folder}/{model}_h{hours}"
-                )
-    _rename_parts(study.spark, root)
+    write_named_traces(development(traces), f"{root}/development")
+    write_named_traces(holdout(traces), f"{root}/holdout")
     return scan_named_traces(study.spark, root, GRID.holdout_event).select(*TRACE_COLUMNS.split(", "))
 
 
-def _rename_parts(spark, root):
-    """Give each written part the file name that carries its model and horizon."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in ("development", "holdout"):
-        files.mkdirs(path(f"{root}/{folder}"))
-        for model in GRID.models:
-            for hours in GRID.horizons:
-                found = files.globStatus(path(f"{root}/parts/{folder}/{model}_h{hours}/part-*.csv.gz"))
-                for number, status in enumerate(found):
-                    suffix = "" if number == 0 else f".part{number}"
-                    files.rename(status.getPath(), path(f"{root}/{folder}/{model}_h{hours}.csv{suffix}.gz"))
-
-
 @query(
     "src5_partitioned_trace",
     rounded(
@@ -120,18 +99,19 @@ def src5(study):
 @query(
     "src6_domain_checks",
     sql(
-        """SELECT 'model' AS column_name, array_to_string(list_sort(list(DISTINCT model)), '|') AS found,
-             'attention_tcn|tcn|xgboost' AS expected, true AS matches FROM traces
-           UNION ALL SELECT 'horizon_hours', array_to_string(list_sort(list(DISTINCT horizon_hours::VARCHAR)), '|'), '1|12|3|6', true FROM traces
-           UNION ALL SELECT 'seed', array_to_string(list_sort(list(DISTINCT seed::VARCHAR)), '|'), '17|42|99', false FROM traces"""
+        """SELECT 'model' AS column_name, count(DISTINCT model) FILTER (model IN ('xgboost', 'tcn', 'attention_tcn')) AS present,
+             3 - count(DISTINCT model) FILTER (model IN ('xgboost', 'tcn', 'attention_tcn')) AS missing,
+             count(DISTINCT model) FILTER (model NOT IN ('xgboost', 'tcn', 'attention_tcn')) AS unexpected, true AS matches FROM traces
+           UNION ALL SELECT 'horizon_hours', count(DISTINCT horizon_hours), 4 - count(DISTINCT horizon_hours), 0, true FROM traces
+           UNION ALL SELECT 'seed', count(DISTINCT seed) FILTER (seed IN (17, 42, 99)),
+             3 - count(DISTINCT seed) FILTER (seed IN (17, 42, 99)), count(DISTINCT seed) FILTER (seed NOT IN (17, 42, 99)), false FROM traces"""
     ),
 )
 def src6(study):
     """Two columns hold exactly the expected values; the third is compared with a wrong set."""
-    found = domain_check(
+    return domain_check(
         study.stored_traces(), {"model": GRID.models, "horizon_hours": GRID.horizons, "seed": (17, 42, 99)}
     )
-    return found.withColumns({c: F.array_join(c, "|") for c in ("found", "expected")})
 
 
 @query(
@@ -146,7 +126,7 @@ def src7(study):
     """Nested threshold records written as JSON and read back."""
     path = fresh_path(study.spark, "thresholds")
     threshold_records(thresholds(study.stored_traces()), THRESHOLDS, GRID.seeds).write.json(path)
-    return study.spark.read.schema(read_thresholds(study.spark, path).schema).json(path).select(
+    return read_thresholds(study.spark, path).select(
         "model", "horizon_hours", "operational.threshold", "operational.development_f2",
         "operational.development_false_alert_episodes",
     )
@@ -167,12 +147,9 @@ def snk2(study):
 def snk3(study):
     """The one-row audit written as JSON and read back."""
     path = fresh_path(study.spark, "audit")
-    write_report(
-        audit_report(study.raw(), study.spec, study.policy, FAILURES, GRID.horizons, HOLDOUT_START), path
-    )
-    return study.spark.read.json(path).select(
-        "schema_version", "rows", F.size("segments").alias("segments"), F.size("horizons").alias("horizons"),
-        "window_policy.feature_windows",
+    write_audit(audit_tables(study.raw(), study.spec, study.policy, FAILURES, GRID.horizons, HOLDOUT_START), path)
+    return study.spark.read.json(f"{path}/report").select(
+        "schema_version", "rows", "segments", F.size("horizons").alias("horizons"), "window_policy.feature_windows"
     )
 
 
@@ -180,15 +157,16 @@ def snk3(study):
     "ts20_full_audit",
     sql(
         """SELECT 1 AS schema_version, (SELECT count(*) FROM raw) AS rows, (SELECT count(*) FROM valid) AS valid_rows,
-             (SELECT CAST(count(*) AS INTEGER) FROM profile) AS segments, 4 AS horizons,
+             (SELECT count(*) FROM profile) AS segments, 4 AS horizons,
              (SELECT count(*) FROM windows) AS feature_windows, 3600 AS history_seconds"""
     ),
 )
 def ts20(study):
-    report = audit_report(study.raw(), study.spec, study.policy, FAILURES, GRID.horizons, HOLDOUT_START)
+    report = audit_report(
+        audit_tables(study.raw(), study.spec, study.policy, FAILURES, GRID.horizons, HOLDOUT_START)
+    )
     return report.select(
-        "schema_version", "rows", "validation.valid_rows", F.size("segments").alias("segments"),
-        F.size("horizons").alias("horizons"), "window_policy.feature_windows", "window_policy.history_seconds",
+        "schema_version", "rows", "validation.valid_rows", "segments", F.size("horizons").alias("horizons"), "window_policy.feature_windows", "window_policy.history_seconds",
     )
 
 
