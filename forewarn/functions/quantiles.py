@@ -1,7 +1,7 @@
 """Exact interpolated percentiles without one big sort per group.
 
 The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. The two forms here never do.
+aggregation buffer. The form here never does.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per octave and the offset that keeps every magnitude bucket positive
-# (the smallest double is 2^-1074).
-_PER_OCTAVE = 65536
+# Keeps every magnitude bucket positive: the smallest double is 2^-1074, at most
+# 65536 buckets per octave.
 _OFFSET = 1 << 27
 
 
-def magnitude_bucket(value: Column) -> Column:
+def magnitude_bucket(value: Column, per_octave: int = 65536) -> Column:
     """A coarse integer that never decreases as the double grows.
 
     It depends on the value alone, so no pass over the data is needed to place
@@ -26,7 +25,7 @@ def magnitude_bucket(value: Column) -> Column:
     size = F.abs(value)
     level = (
         F.when(size == float("inf"), F.lit(1 << 40))
-        .otherwise(F.floor(F.log2(size) * F.lit(_PER_OCTAVE)).cast("long") + F.lit(_OFFSET))
+        .otherwise(F.floor(F.log2(size) * F.lit(per_octave)).cast("long") + F.lit(_OFFSET))
     )
     return F.when(size == 0, F.lit(0).cast("long")).otherwise(
         F.when(value > 0, level).otherwise(-level)
@@ -59,32 +58,6 @@ def _interpolate(df: DataFrame, keys, probabilities: Mapping[str, float], count:
     return df.select(*keys, *columns)
 
 
-def percentiles_by_distinct(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: Mapping[str, float],
-    count: str | None = None,
-) -> DataFrame:
-    """Percentiles per key, for many keys whose distinct values are bounded.
-
-    Equal values collapse before the shuffle; each key then streams its distinct
-    values once through a sorted (spillable) window.
-    """
-    keys = list(keys)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumns(
-        {"_end": F.sum("_n").over(ordered), "_total": F.sum("_n").over(whole)}
-    )
-    picked = ranked.groupBy(*keys).agg(
-        F.max("_total").alias("_count"),
-        *_pick(probabilities, value, F.col("_end") - F.col("_n"), F.col("_end"), F.col("_total")),
-    )
-    return _interpolate(picked, keys, probabilities, count)
-
-
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -92,24 +65,31 @@ def exact_percentiles(
     probabilities: Mapping[str, float],
     count: str | None = None,
     keys_are_parameters: bool = True,
+    per_octave: int = 65536,
 ) -> DataFrame:
     """Percentiles per key over any number of values.
 
     Pass one counts rows per magnitude bucket and finds the few buckets that
-    contain a wanted rank. Pass two looks only at rows of those buckets. The
-    bucket table holds at most ``2 * len(probabilities)`` rows per key. While the
-    keys are a parameter set (sensors, channels, grid cells) its size does not
-    grow with the data and it is broadcast; otherwise pass
+    contain a wanted rank. Where such a bucket holds one distinct value the rank
+    is known already. Pass two looks only at rows of the remaining buckets and is
+    skipped by Spark at run time when there are none.
+
+    The table of buckets to refine holds at most ``2 * len(probabilities)`` rows
+    per key. While the keys are a parameter set (sensors, channels, grid cells)
+    its size does not grow with the data and it is broadcast; otherwise pass
     ``keys_are_parameters=False`` and Spark picks the join by measured size.
-    Keys must not be null.
+    ``per_octave`` trades rows in pass one against rows in pass two. Keys must not
+    be null.
     """
     keys = list(keys)
     placed = (
         df.select(*keys, F.col(value).cast("double").alias(value))
         .where(F.col(value).isNotNull())
-        .withColumn("_bucket", magnitude_bucket(F.col(value)))
+        .withColumn("_bucket", magnitude_bucket(F.col(value), per_octave))
+    )
+    per_bucket = placed.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_least"), F.max(value).alias("_most")
     )
-    per_bucket = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     ordered = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = per_bucket.withColumns(
@@ -119,7 +99,11 @@ def exact_percentiles(
     for probability in probabilities.values():
         for rank in (F.floor(_rank(F.col("_total"), probability)), F.ceil(_rank(F.col("_total"), probability))):
             holds_rank = holds_rank | ((F.col("_before") <= rank) & (rank < F.col("_stop")))
-    wanted = ranked.where(holds_rank).select(*keys, "_bucket", "_before", "_total")
+    ranked = ranked.where(holds_rank)
+    settled = ranked.withColumn(value, F.when(F.col("_least") == F.col("_most"), F.col("_least"))).select(
+        *keys, value, F.col("_before").alias("_start"), F.col("_stop").alias("_end"), "_total"
+    )
+    wanted = ranked.where(F.col("_least") < F.col("_most")).select(*keys, "_bucket", "_before", "_total")
 
     survivors = (
         placed.join(F.broadcast(wanted) if keys_are_parameters else wanted, [*keys, "_bucket"])
@@ -131,9 +115,15 @@ def exact_percentiles(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed_values = survivors.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-    picked = placed_values.groupBy(*keys).agg(
-        F.max("_total").alias("_count"),
-        *_pick(probabilities, value, F.col("_end") - F.col("_n"), F.col("_end"), F.col("_total")),
+    refined = survivors.withColumn("_end", F.col("_before") + F.sum("_n").over(inside)).select(
+        *keys, value, (F.col("_end") - F.col("_n")).alias("_start"), "_end", "_total"
+    )
+    picked = (
+        settled.unionByName(refined)
+        .groupBy(*keys)
+        .agg(
+            F.max("_total").alias("_count"),
+            *_pick(probabilities, value, F.col("_start"), F.col("_end"), F.col("_total")),
+        )
     )
     return _interpolate(picked, keys, probabilities, count)

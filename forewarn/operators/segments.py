@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forewarn.functions.timeline import SECOND, floor_div, from_micros, micros
+from forewarn.functions.quantiles import exact_percentiles
+from forewarn.functions.timeline import HOUR, SECOND, floor_div, from_micros, micros
 from forewarn.spec import TelemetrySpec, require_columns
 
 # Width of the time slice inside which readings are ordered by one task. After
@@ -45,31 +48,29 @@ def assign_segments(
     max_gap_seconds: int,
     carry: tuple[str, ...] = (),
     chunk_seconds: int = CHUNK_SECONDS,
+    keep: Callable[[DataFrame], DataFrame] = lambda ordered: ordered,
 ) -> DataFrame:
     """Number the gap-free segments of each asset 0, 1, 2, ... in time order.
 
     A segment starts where the gap to the previous reading is larger than
     ``max_gap_seconds``. Added columns: ``segment_id``, ``segment_start``,
-    ``previous_timestamp`` and ``previous_<name>`` for each name in ``carry``
-    (all null on the first reading of a segment).
+    ``offset_us`` (microseconds since that start), and ``gap_us``,
+    ``previous_timestamp`` and ``previous_<name>`` for each name in ``carry`` (all
+    null on the first reading of a segment).
 
     Readings are ordered inside (asset, time slice). One summary row per slice
     carries the segment number, its start and the last reading into the next
     slice, so no task ever holds a whole asset.
+
+    The ordered readings feed both the summary and the result. ``keep`` may store
+    them in between (see ``stage_table``): everything after it, here and in later
+    operators, is then a plain read joined with the small summary.
     """
     require_columns(df.columns, [*spec.asset_cols, spec.timestamp, *carry], "valid telemetry")
     keys = list(spec.asset_cols)
     gap = max_gap_seconds * SECOND
-    localised = _localised(df, spec, max_gap_seconds, chunk_seconds, carry)
-
-    summary = _localised(
-        df.select(*keys, spec.timestamp, *carry),
-        spec,
-        max_gap_seconds,
-        chunk_seconds,
-        (),
-    )
-    summary = summary.groupBy(*keys, "_chunk").agg(
+    localised = keep(_localised(df, spec, max_gap_seconds, chunk_seconds, carry))
+    summary = localised.groupBy(*keys, "_chunk").agg(
         F.min("_t").alias("_chunk_first"),
         F.max("_t").alias("_chunk_last"),
         F.count("_break_t").alias("_chunk_breaks"),
@@ -105,71 +106,46 @@ def assign_segments(
     joined = localised.join(entry, [*keys, "_chunk"], "left")
     first_here = F.col("_previous_t").isNull()
     starts = (first_here & F.col("_entry_break")) | F.col("_break_t").isNotNull()
-    previous = {
-        "previous_timestamp": F.when(
-            ~starts, from_micros(F.coalesce("_previous_t", "_entry_t"))
-        )
+    previous_t = F.coalesce("_previous_t", "_entry_t")
+    start_t = F.coalesce("_latest_break", "_entry_start")
+    added = {
+        "segment_id": F.col("_base") + F.col("_breaks"),
+        "segment_start": from_micros(start_t),
+        "offset_us": F.col("_t") - start_t,
+        "gap_us": F.when(~starts, F.col("_t") - previous_t),
+        "previous_timestamp": F.when(~starts, from_micros(previous_t)),
     } | {
         f"previous_{name}": F.when(
             ~starts, F.when(first_here, F.col(f"_entry_{name}")).otherwise(F.col(f"_previous_{name}"))
         )
         for name in carry
     }
-    result = joined.withColumns(
-        {
-            "segment_id": F.col("_base") + F.col("_breaks"),
-            "segment_start": from_micros(F.coalesce("_latest_break", "_entry_start")),
-        }
-        | previous
-    )
+    result = joined.withColumns(added)
     return result.drop(*[name for name in result.columns if name.startswith("_")])
 
 
 def segment_profile(segmented: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """One row per segment: rows, first and last reading, hours and median positive gap."""
     keys = [*spec.asset_cols, "segment_id"]
-    gaps = segmented.select(
-        *keys,
-        spec.timestamp,
-        (micros(spec.timestamp) - micros("previous_timestamp")).alias("_gap"),
-    )
-    # Readings with the same gap collapse before the shuffle; the first reading has no gap.
-    by_gap = gaps.groupBy(*keys, "_gap").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(spec.timestamp).alias("_first"),
-        F.max(spec.timestamp).alias("_last"),
-    )
-    positive = F.when(F.col("_gap") > 0, F.col("_n")).otherwise(0)
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy(F.asc_nulls_first("_gap")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    spans = segmented.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("segment_start").alias("segment_start"),
+        F.max("offset_us").alias("_length"),
     )
-    ranked = by_gap.withColumns(
-        {"_upto": F.sum(positive).over(ordered), "_total": F.sum(positive).over(whole)}
+    # Segments are many and their gaps short of the limit, so coarse buckets do.
+    gaps = exact_percentiles(
+        segmented.where(F.col("gap_us") > 0),
+        keys,
+        "gap_us",
+        {"_median": 0.5},
+        keys_are_parameters=False,
+        per_octave=64,
     )
-    middle = (F.col("_total") - 1) / 2
-
-    def statistic(rank):
-        holds = (F.col("_upto") - positive <= rank) & (rank < F.col("_upto"))
-        return F.max(F.when(holds, F.col("_gap")))
-
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.sum("_n").alias("rows"),
-            F.min("_first").alias("segment_start"),
-            F.max("_last").alias("segment_end"),
-            statistic(F.floor(middle)).alias("_low"),
-            statistic(F.ceil(middle)).alias("_high"),
-        )
-        .select(
-            *keys,
-            "rows",
-            "segment_start",
-            "segment_end",
-            (F.timestamp_diff("MICROSECOND", F.col("segment_start"), F.col("segment_end")) / 3.6e9).alias(
-                "duration_hours"
-            ),
-            ((F.col("_low") + F.col("_high")) / 2 / float(SECOND)).alias("cadence_seconds"),
-        )
+    return spans.join(gaps, keys, "left").select(
+        *keys,
+        "rows",
+        "segment_start",
+        F.timestamp_add("MICROSECOND", F.col("_length"), F.col("segment_start")).alias("segment_end"),
+        (F.col("_length") / float(HOUR)).alias("duration_hours"),
+        (F.col("_median") / float(SECOND)).alias("cadence_seconds"),
     )

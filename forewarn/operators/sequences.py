@@ -44,9 +44,8 @@ def _aligned_bins(
 ) -> DataFrame:
     """Bins counted once per segment, then looked up by every window that covers them."""
     keys = [*spec.asset_cols, "segment_id"]
-    offset = micros(spec.timestamp) - micros("segment_start")
     bins = (
-        segmented.withColumn("_bin", floor_div(offset, sequence.bin_seconds * SECOND))
+        segmented.withColumn("_bin", floor_div(F.col("offset_us"), sequence.bin_seconds * SECOND))
         .groupBy(*keys, "_bin")
         .agg(*_means(spec))
     )
@@ -143,7 +142,7 @@ def resample_windows(
         policy is not None
         and policy.step_seconds % sequence.bin_seconds == 0
         and "window_index" in windows.columns
-        and "segment_start" in segmented.columns
+        and "offset_us" in segmented.columns
     )
     if aligned:
         binned = _aligned_bins(segmented, accepted, spec, policy, sequence)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.functions.timeline import HOUR, SECOND, floor_div, from_micros, iso_text, micros
+from forewarn.functions.timeline import HOUR, SECOND, floor_div, iso_text
 from forewarn.spec import TelemetrySpec, WindowPolicy, require_columns
 
 # Columns of a window table that are never model features.
@@ -31,19 +31,22 @@ def assign_windows(segmented: DataFrame, spec: TelemetrySpec, policy: WindowPoli
     join becomes an equality on (segment, index).
     """
     size, step = policy.window_seconds * SECOND, policy.step_seconds * SECOND
-    offset = micros(spec.timestamp) - micros("segment_start")
+    offset = F.col("offset_us")
     return (
-        segmented.withColumn("_offset", offset)
-        .withColumn("_low", F.greatest(F.lit(0).cast("long"), floor_div(F.col("_offset") - size, step) + 1))
-        .withColumn("_high", floor_div(F.col("_offset"), step))
+        segmented.withColumns(
+            {
+                "_low": F.greatest(F.lit(0).cast("long"), floor_div(offset - size, step) + 1),
+                "_high": floor_div(offset, step),
+            }
+        )
         .where(F.col("_low") <= F.col("_high"))
         .withColumn("window_index", F.explode(F.sequence("_low", "_high")))
-        .drop("_offset", "_low", "_high")
+        .drop("_low", "_high")
     )
 
 
 def _feature_aggregates(spec: TelemetrySpec) -> list[Column]:
-    stamp = F.col("_t")
+    stamp = F.col("offset_us")
     elapsed = (F.max(stamp) - F.min(stamp)) / float(HOUR)
     columns = []
     for sensor in spec.analogue:
@@ -61,7 +64,7 @@ def _feature_aggregates(spec: TelemetrySpec) -> list[Column]:
         F.avg(F.col(minuend) - F.col(subtrahend)).alias("pressure_diff_mean"),
         F.avg(spec.duty).alias("comp_duty_cycle"),
         # Successive differences count only when both readings lie in the window.
-        F.avg(F.when(F.col("_previous_t") >= F.col("_window_t"), step_change)).alias(
+        F.avg(F.when(stamp - F.col("gap_us") >= F.col("_window_offset"), step_change)).alias(
             "motor_current_volatility"
         ),
     ]
@@ -80,7 +83,7 @@ def window_features(
     """
     require_columns(
         segmented.columns,
-        ["segment_id", "segment_start", "previous_timestamp", f"previous_{spec.volatility}"],
+        ["segment_id", "segment_start", "offset_us", "gap_us", f"previous_{spec.volatility}"],
         "segmented telemetry",
     )
     size, step = policy.window_seconds * SECOND, policy.step_seconds * SECOND
@@ -90,30 +93,30 @@ def window_features(
         "window_index",
         *spec.channels,
         f"previous_{spec.volatility}",
-        micros(spec.timestamp).alias("_t"),
-        micros("previous_timestamp").alias("_previous_t"),
-        (micros("segment_start") + F.col("window_index") * step).alias("_window_t"),
+        "offset_us",
+        "gap_us",
+        (F.col("window_index") * step).alias("_window_offset"),
     )
-    windows = in_windows.groupBy(*keys, "window_index", "_window_t").agg(
+    windows = in_windows.groupBy(*keys, "window_index").agg(
         F.count(F.lit(1)).alias("rows"), *_feature_aggregates(spec)
     )
     cadence = F.col("cadence_seconds")
     # bround rounds half to even, like the rule it stands for.
     expected = F.greatest(F.lit(1.0), F.bround(F.lit(float(policy.window_seconds)) / cadence))
     least_rows = F.greatest(F.lit(1.0), F.floor(expected * policy.min_coverage))
+    length = F.timestamp_diff("MICROSECOND", F.col("segment_start"), F.col("segment_end"))
     segments = profile.select(
-        *keys,
-        "cadence_seconds",
-        (micros("segment_end") + cadence * float(SECOND)).alias("_limit"),
+        *keys, "cadence_seconds", "segment_start", (length + cadence * float(SECOND)).alias("_limit")
     ).where(cadence <= policy.window_seconds)
+    begins = F.col("window_index") * step
     return (
         windows.join(segments, keys)
-        .where((F.col("_window_t") + size <= F.col("_limit")) & (F.col("rows") >= least_rows))
+        .where((begins + size <= F.col("_limit")) & (F.col("rows") >= least_rows))
         .select(
             *keys,
             "window_index",
-            from_micros("_window_t").alias("window_start"),
-            from_micros(F.col("_window_t") + size).alias("window_end"),
+            F.timestamp_add("MICROSECOND", begins, F.col("segment_start")).alias("window_start"),
+            F.timestamp_add("MICROSECOND", begins + size, F.col("segment_start")).alias("window_end"),
             "rows",
             "cadence_seconds",
             *spec.feature_names,

@@ -35,8 +35,10 @@ def audit_tables(
     """One table per section of the audit. Flagged rows, segments and windows are kept as stages."""
     typed = coerce(raw, spec)
     flagged = stage_table(validate(typed, spec), "flagged")
-    segmented = assign_segments(valid_rows(flagged), spec, policy.max_gap_seconds, carry=(spec.volatility,))
-    segmented = stage_table(segmented, "segments")
+    segmented = assign_segments(
+        valid_rows(flagged), spec, policy.max_gap_seconds, carry=(spec.volatility,),
+        keep=lambda ordered: stage_table(ordered, "readings"),
+    )
     profile = stage_table(segment_profile(segmented, spec), "profile")
     windows = stage_table(window_features(segmented, profile, spec, policy), "windows")
     cadence = cadence_summary(typed, spec.timestamp, spec.order_cols)

@@ -67,11 +67,23 @@ class Study:
     sf_dir: str
     policy: WindowPolicy = WindowPolicy(3600, 1800, 1200, 0.5)
     spec: TelemetrySpec = CLEAN
+    segment_table: DataFrame | None = None
     window_table: DataFrame | None = None
 
+    def with_stored_readings(self) -> Study:
+        """The same study with its ordered readings kept as a stage, for uses that read them several times."""
+        if self.segment_table is not None:
+            return self
+        segmented = assign_segments(
+            self.valid(), self.spec, self.policy.max_gap_seconds, carry=(self.spec.volatility,),
+            keep=lambda ordered: stage_table(ordered, "readings"),
+        )
+        return replace(self, segment_table=segmented)
+
     def with_stored_windows(self) -> Study:
         """The same study with its windows kept as a stage, for uses that read them several times."""
-        return replace(self, window_table=stage_table(self.windows(), "windows"))
+        study = self.with_stored_readings()
+        return replace(study, window_table=stage_table(study.windows(), "windows"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -95,9 +107,11 @@ class Study:
     def valid(self, minute_stamps: bool = False) -> DataFrame:
         return valid_rows(self.flagged(minute_stamps))
 
-    def segmented(self, minute_stamps: bool = False) -> DataFrame:
+    def segmented(self) -> DataFrame:
+        if self.segment_table is not None:
+            return self.segment_table
         return assign_segments(
-            self.valid(minute_stamps), self.spec, self.policy.max_gap_seconds, carry=(self.spec.volatility,)
+            self.valid(), self.spec, self.policy.max_gap_seconds, carry=(self.spec.volatility,)
         )
 
     def profile(self) -> DataFrame:
@@ -106,7 +120,8 @@ class Study:
     def windows(self) -> DataFrame:
         if self.window_table is not None:
             return self.window_table
-        return window_features(self.segmented(), self.profile(), self.spec, self.policy)
+        study = self.with_stored_readings()
+        return window_features(study.segmented(), study.profile(), self.spec, self.policy)
 
     def labelled(self) -> DataFrame:
         return label_windows(self.windows(), FAILURES)
@@ -168,7 +183,8 @@ class Study:
         return stage_table(self.with_stored_windows().traces(), "traces", ("model", "horizon_hours"))
 
     def steps(self) -> DataFrame:
-        return resample_windows(self.segmented(), self.predictive(), self.spec, SEQUENCE, self.policy)
+        study = self.with_stored_readings()
+        return resample_windows(study.segmented(), study.predictive(), self.spec, SEQUENCE, self.policy)
 
     def regime_members(self, **options) -> DataFrame:
         return regime_membership(self.labelled(), ONSETS, **options)
