@@ -148,8 +148,12 @@ def resample_windows(
         binned = _aligned_bins(segmented, accepted, spec, policy, sequence)
     else:
         binned = _window_bins(segmented, accepted, spec, sequence)
-    expected = F.greatest(F.lit(1.0), F.lit(float(sequence.bin_seconds)) / F.col("_cadence"))
-    observed = F.coalesce(F.least(F.lit(1.0), F.col("rows_in_bin") / expected), F.lit(0.0))
+    # greatest and least skip nulls, so both inputs are made non-null first.
+    known_cadence = F.coalesce(
+        "_cadence", F.raise_error(F.concat(F.lit("Cannot determine cadence for "), F.col("window_id"))).cast("double")
+    )
+    expected = F.greatest(F.lit(1.0), F.lit(float(sequence.bin_seconds)) / known_cadence)
+    observed = F.least(F.lit(1.0), F.coalesce("rows_in_bin", F.lit(0)) / expected)
     return fill_short_holes(binned, spec, sequence.max_fill).select(
         *keys, "window_id", "window_start", "window_end", "step", *spec.channels, observed.alias(OBSERVED)
     )

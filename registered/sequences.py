@@ -52,7 +52,8 @@ steps AS (
     coalesce(value, CASE WHEN step - ls <= 1 THEN lv + (rv - lv) / (rs - ls) * (step - ls) END) AS value,
     coalesce(k, CASE WHEN step - ls <= 1 THEN lk + (rk - lk) / (rs - ls) * (step - ls) END) AS k,
     coalesce(active, la) AS active,
-    coalesce(least(1.0, rows_in_bin / greatest(1.0, 300.0 / cadence_seconds)), 0.0) AS bin_observed_fraction
+    CASE WHEN rows_in_bin IS NULL THEN 0.0 ELSE least(1.0, rows_in_bin / greatest(1.0, 300.0 / cadence_seconds)) END
+      AS bin_observed_fraction
   FROM neighbours)"""
 
 FITTED = """training AS (
