@@ -45,7 +45,7 @@ def audit_tables(
     return {
         "columns": raw.columns,
         "policy": policy,
-        "missing_values": missing_counts(raw.select(*spec.required)),
+        "missing_values": missing_counts(raw.drop(*spec.order_cols)),
         "timestamp": cadence,
         "common_gaps": common_gaps(typed, spec.timestamp, spec.order_cols),
         "validation": validation_report(flagged, profile),

@@ -146,8 +146,8 @@ counted AS (
   FROM policy_rows GROUP BY 1, 2, 3, 4, 5),
 policy_metrics AS (
   SELECT c.*, r.average_precision, r.average_precision / c.prevalence AS ap_lift_over_prevalence, r.roc_auc,
-    ((CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END) + (CASE WHEN tn + fp > 0 THEN tn::DOUBLE / (tn + fp) END)) / 2
-      AS balanced_accuracy,
+    CASE WHEN tp + fn = 0 THEN tn::DOUBLE / (tn + fp) WHEN tn + fp = 0 THEN tp::DOUBLE / (tp + fn)
+      ELSE (tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2 END AS balanced_accuracy,
     CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0.0::DOUBLE END AS "precision",
     CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0::DOUBLE END AS recall,
     CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0.0::DOUBLE END AS f1,
