@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _OFFSET = 1 << 27
 
 
-def magnitude_bucket(value: Column, per_octave: int = 65536) -> Column:
+def magnitude_bucket(value: Column, per_octave: int = 4096) -> Column:
     """A coarse integer that never decreases as the double grows.
 
     It depends on the value alone, so no pass over the data is needed to place
@@ -65,7 +65,7 @@ def exact_percentiles(
     probabilities: Mapping[str, float],
     count: str | None = None,
     keys_are_parameters: bool = True,
-    per_octave: int = 65536,
+    per_octave: int = 4096,
 ) -> DataFrame:
     """Percentiles per key over any number of values.
 

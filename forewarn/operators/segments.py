@@ -103,7 +103,7 @@ def assign_segments(
             F.coalesce("_opens", F.max("_newest_start").over(before)).alias("_entry_start"),
         )
     )
-    joined = localised.join(entry, [*keys, "_chunk"], "left")
+    joined = localised.join(keep(entry), [*keys, "_chunk"], "left")
     first_here = F.col("_previous_t").isNull()
     starts = (first_here & F.col("_entry_break")) | F.col("_break_t").isNotNull()
     previous_t = F.coalesce("_previous_t", "_entry_t")

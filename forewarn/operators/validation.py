@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,13 @@ def row_reasons(spec: TelemetrySpec) -> Column:
     return F.array_compact(F.array(*rules))
 
 
+def row_accepted(spec: TelemetrySpec) -> Column:
+    """True when a coerced row breaks no row-level rule."""
+    present = [F.col(name).isNotNull() for name in (spec.timestamp, *spec.asset_cols)]
+    ranges = [in_range(name, bounds) for name, bounds in spec.analogue.items()]
+    return reduce(lambda a, b: a & b, [*present, *ranges, *[is_binary(name) for name in spec.digital]])
+
+
 def validate(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """Flag every coerced row: ``duplicate_timestamp``, ``reasons``, ``is_valid``.
 
@@ -80,7 +89,11 @@ def validate(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
         ),
         row_reasons(spec),
     )
-    return flagged.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
+    # The flag does not go through the array, so accepting rows stays cheap. As one
+    # CASE it is judged after the join, on values parsed once: split into
+    # conjuncts it would be pushed below and parse the text again per comparison.
+    accepted = F.when(F.col("duplicate_timestamp"), F.lit(False)).otherwise(row_accepted(spec))
+    return flagged.withColumns({"reasons": reasons, "is_valid": accepted})
 
 
 def valid_rows(flagged: DataFrame) -> DataFrame:

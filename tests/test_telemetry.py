@@ -90,6 +90,12 @@ def test_many_copies_and_missing_stamps(spark):
     assert (report["input_rows"], report["valid_rows"], report["segments"]) == (400, 51, 1)
 
 
+def test_flag_and_reasons_agree(spark):
+    df = telemetry(spark, [0, 0, 1, 2, 3, 4], {2: {"timestamp": None}, 3: {"TP2": None}, 4: {"COMP": None}})
+    flagged = validate(coerce(df, SPEC), SPEC)
+    assert flagged.where("is_valid <> (size(reasons) = 0)").count() == 0 and flagged.where("is_valid").count() == 2
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="COMP"):
         validate(telemetry(spark, [0]).drop("COMP"), SPEC)
