@@ -40,12 +40,14 @@ def _rows(columns, rows):
     return sorted(columns), sorted(out, key=repr)
 
 
-def differences(spark_df, connection, sql: str, show: int = 3) -> list[str]:
+def differences(spark_df, connection, sql: str, show: int = 3, counted: list | None = None) -> list[str]:
     left_columns, left = _rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     result = connection.execute(sql)
     right_columns, right = _rows([d[0] for d in result.description], result.fetchall())
     if left_columns != right_columns:
         return [f"columns {left_columns} != {right_columns}"]
+    if counted is not None:
+        counted.append(len(left))
     notes = []
     if len(left) != len(right):
         notes.append(f"rows {len(left)} != {len(right)}")
@@ -76,8 +78,9 @@ def main(argv) -> int:
         try:
             df = queries[name](spark, sf_dir)
             built = time.time()
-            notes = differences(df, connection, oracle[name]) if name in oracle else []
-            count = "" if name in oracle else f"(no SQL, {len(df.collect())} rows)"
+            size = []
+            notes = differences(df, connection, oracle[name], counted=size) if name in oracle else []
+            count = f"({size[0]} rows)" if size else f"(no SQL, {len(df.collect())} rows)" if name not in oracle else ""
         except Exception as error:  # report and go on with the next query
             built, notes, count = time.time(), [f"{type(error).__name__}: {str(error)[:1500]}"], ""
         failed += bool(notes)
