@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forewarn.functions.timeline import HOUR, SECOND, floor_div, from_micros, hours_between, micros, naive
+from forewarn.functions.timeline import HOUR, SECOND, floor_div, hours_between, micros, naive
 from forewarn.spec import require_columns
 
 # Up to this many intervals are written into the plan as literals; a larger set

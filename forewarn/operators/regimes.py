@@ -7,7 +7,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.functions.missing import ratio
 from forewarn.functions.quantiles import exact_percentiles
 from forewarn.functions.timeline import hours_between, naive
 from forewarn.spec import require_columns

@@ -37,7 +37,7 @@ from forewarn.operators.thresholds import (
     sweep_thresholds,
     threshold_records,
 )
-from forewarn.plans.events_study import GRID, HOLDOUT_START, THRESHOLDS
+from forewarn.plans.events_study import GRID, THRESHOLDS
 from forewarn.sources.sinks import stage_table
 from registered.base import query, rounded, sql
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from forewarn.operators.alerts import CELL
 from forewarn.operators.checks import domain_check
 from forewarn.operators.metrics import eventwise_metrics, seed_summary
-from forewarn.operators.profile import horizon_audit
 from forewarn.operators.regimes import (
     effects_of,
     least_consistent,
@@ -20,7 +19,6 @@ from forewarn.operators.reports import (
     comparison_table,
     cost_against_ranking,
     cross_event_pivot,
-    display_names,
     event_timeline,
     filter_rows,
     horizon_performance,
@@ -36,12 +34,10 @@ from forewarn.sources.traces import read_thresholds, scan_named_traces, scan_tra
 from forewarn.spec import EVENT_LABELS, MODEL_LABELS
 from registered.base import FEATURES, ONSET_ROWS, query, rounded, sql
 from registered.evidence import (
-    CELL_CTES,
     EVENT_CTES,
     POLICY_CTES,
     SUMMARY_CTE,
     SWEEP_CTES,
-    decided,
     development,
     holdout,
     metrics,

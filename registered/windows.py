@@ -7,10 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from forewarn.operators.checks import fold_problems
-from forewarn.operators.labels import bad_windows, label_horizons, label_windows, label_windows_from_table
+from forewarn.operators.labels import bad_windows, label_horizons, label_windows_from_table
 from forewarn.operators.profile import horizon_audit
 from forewarn.operators.splits import (
-    chronological_split,
     class_weights,
     fold_class_counts,
     purge_overlap,
@@ -18,7 +17,7 @@ from forewarn.operators.splits import (
 )
 from forewarn.operators.sequences import rows_in_windows
 from forewarn.operators.windows import assign_windows, degenerate_windows, feature_columns
-from forewarn.plans.events_study import CLEAN, FAILURES, GRID, HOLDOUT_START
+from forewarn.plans.events_study import CLEAN, GRID, HOLDOUT_START
 from forewarn.spec import WindowPolicy
 from registered.base import FEATURES, HOLDOUT, query, rounded, sql
 from registered.telemetry import FLEET_SQL, fleet

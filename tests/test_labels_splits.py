@@ -1,5 +1,4 @@
 import random
-from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +7,7 @@ from forewarn.operators.checks import fold_problems
 from forewarn.operators.labels import label_horizon, label_windows, label_windows_from_table
 from forewarn.operators.regimes import regime, regime_effects, regime_summary
 from forewarn.operators.splits import chronological_split, development_folds, purge_overlap, split_bounds
-from tests.fixtures import START, at, windows
+from tests.fixtures import at, windows
 
 FAILURE = (("2020-02-01 10:00:00", "2020-02-01 12:00:00", "leak"),)
 

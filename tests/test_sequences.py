@@ -1,5 +1,3 @@
-from datetime import timedelta
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +7,7 @@ from forewarn.operators.normalizer import apply_normalizer, check_training_ids,
 from forewarn.operators.sequences import OBSERVED, pack_sequences, resample_windows, sequence_channels, windows_without_source
 from forewarn.operators.windows import predictive_windows
 from forewarn.spec import SequencePolicy, WindowPolicy
-from tests.fixtures import SPEC, START, at, telemetry, windows
+from tests.fixtures import SPEC, telemetry, windows
 
 SEQUENCE = SequencePolicy()
 
