@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forewarn.llm import byte_bpe, sharding, token_counts, topk
+from forewarn.llm import byte_bpe, ctph, packing, pii, sharding, token_counts, topk
 from forewarn.llm.common import documents, embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.extract(docs, pii.learn_patterns(docs))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans"
+    )
+
+
 @query
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0, k=5)
@@ -62,6 +71,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op8_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ctph.compare_with_next(documents(spark, sf_dir), ranges)
+
+
+@query
+def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False
+    )
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts are neighbours in the order (text digest, doc_id), so a copy mostly shares its original's shard."""
