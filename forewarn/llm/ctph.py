@@ -20,29 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import map_rows, stage_table
+from forewarn.llm.common import map_rows
+from forewarn.llm.gear import rolling
 
 WINDOW = 8
 CHUNKS = 64
 LEAST_BITS = 2
 COMMON = 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-#: A random-looking number for each byte, from a rule.
-GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b]), seed=1) for b in range(256)], np.uint64)
-
-
-def rolling(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """At each byte a hash of the ``window`` (a power of two) bytes that end there, fewer at the start."""
-    h = GEAR[data]
-    span = 1
-    while span < window:
-        moved = h[:-span] << np.uint64(span)
-        h = h.copy()
-        h[span:] += moved
-        span *= 2
-    h *= _MIX
-    return h >> np.uint64(32)
 
 
 def block_bits(n_bytes: int) -> int:
@@ -63,7 +48,7 @@ def fingerprint(text: str | None) -> str:
     data = (text or "").encode()
     if not data:
         return "0::"
-    hashes = rolling(np.frombuffer(data, np.uint8))
+    hashes = rolling(np.frombuffer(data, np.uint8), WINDOW)
     bits = block_bits(len(data)) + 1
     while True:  # repetitive texts trigger seldom and get smaller blocks
         bits -= 1

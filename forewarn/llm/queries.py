@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forewarn.llm import byte_bpe, ctph, near_dedup, packing, pii, sharding, token_counts, topk
+from forewarn.llm import byte_bpe, ctph, near_dedup, packing, pii, sharding, substring_dedup, token_counts, topk
 from forewarn.llm.common import documents, embeddings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op7_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring_dedup.without_passages(docs, removed="removed")
+
+
 @query
 def op8_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
