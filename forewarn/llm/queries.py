@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forewarn.llm import byte_bpe, ctph, near_dedup, packing, pii, sharding, substring_dedup, token_counts, topk
-from forewarn.llm.common import documents, embeddings
+from forewarn.llm import byte_bpe, ctph, near_dedup, packing, pii, sharding, substring_dedup, token_counts, topk, weak_labels
+from forewarn.llm.common import documents, embeddings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+@query
+def op2_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return weak_labels.score(docs, weak_labels.fit_scorers(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
