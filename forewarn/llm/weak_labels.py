@@ -35,12 +35,13 @@ NOTHING, ACCEPT, REJECT = 0, 1, 2
 TASKS = ("quality", "toxicity")
 #: Width of the hashed feature space and documents to fit on.
 WIDTH = 1 << 18
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 30_000
 ITERATIONS = 40
-REGULARISATION = 1e-4
+REGULARISATION = 0.001
 REMEMBERED = 200_000
 
 _SYMBOLS = b"#$%&*@^~|<>{}[]\\=_+"
+_TRIPLES = [bytes([c]) * 3 for c in b"#$%&*@^~|_=+"]
 _MARKS = b".,;:!?\"'()-" + _SYMBOLS
 # Common insults, in two overlapping lists: what people are called, and what they or their doings are called.
 _NAMES = frozenset(b"idiot moron loser clown scum trash fool imbecile dumbass bastard bitch asshole".split())
@@ -58,7 +59,7 @@ def votes(text: str | None) -> tuple[list[int], list[int], list[bytes]]:
     data = (text or "").encode()
     raw = data.split()
     if not raw:
-        return [REJECT] * 6, [NOTHING] * 3, []
+        return [REJECT] * 7, [NOTHING] * 3, []
     n = len(raw)
     letters = len(data.translate(None, b" \t\n\r\x0b\x0c"))
     symbols = letters - len(data.translate(None, b" \t\n\r\x0b\x0c" + _SYMBOLS))
@@ -68,12 +69,14 @@ def votes(text: str | None) -> tuple[list[int], list[int], list[bytes]]:
     words = [w.strip(_MARKS) for w in lower]
     bare = words.count(b"")
     shouts = data.count(b"!!") + data.count(b"??")
+    tripled = sum(map(data.count, _TRIPLES))
     distinct = len(set(words))
     quality = [
         _between(symbols / letters, 0.01, 0.04),
         _between(capitals / n, 0.2, 0.6),
         _between(equal / n, 0.05, 0.2),
         _between(bare / n, 0.03, 0.1),
+        _between(tripled / n, 0.01, 0.1),
         _between(shouts / n, 0.01, 0.2),
         # Few different words for the length: the number of them grows about as its square root.
         _between(n**0.5 / distinct, 0.6, 1.5) if n >= 20 else NOTHING,
@@ -123,11 +126,12 @@ class LabelModel:
 def fit_labels(combinations: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.9) -> LabelModel:
     """Expectation maximisation over distinct combinations of votes and how often each occurs.
 
-    It starts from the majority of the votes, with ``prior`` for a draw. A count of one is added to every cell, and
+    Labellers are specialists, each looking for one fault, so it starts with a single rejection as a likely fault
+    and more as a sure one, and with ``prior`` where nobody votes. A count of one is added to every cell, and
     of two where a labeller is right, so that labels of the classes can't be swapped and no chance is 0.
     """
     accepts, rejects = (combinations == ACCEPT).sum(axis=1), (combinations == REJECT).sum(axis=1)
-    good = np.where(accepts > rejects, 0.95, np.where(rejects > accepts, 0.05, prior))
+    good = np.where(rejects > 1, 0.05, np.where(rejects == 1, 0.3, np.where(accepts > 0, 0.95, prior)))
     labellers = combinations.shape[1]
     smooth = np.ones((2, 3))
     smooth[0, REJECT] += 2

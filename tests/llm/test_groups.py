@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from forewarn.llm import components, ctph, near_dedup, sharding, shingles, substring_dedup
+from forewarn.llm import components, ctph, near_dedup, prefilter, sharding, shingles, substring_dedup
 from forewarn.llm.queries import QUERIES
 from tests.llm import brute
 
@@ -114,6 +114,18 @@ def test_shingle_sets():
             assert len(shingles.shingle_set(text, size)) == len(brute.shingles(text, size))
 
 
+def test_prefilter_loses_no_key(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("k"), F.lit(1).alias("_hit_"))
+    keys = spark.range(0, 3000, 7).select(F.when(F.col("id") > 7, F.col("id")).alias("key"))
+    for bits in (64, 1 << 25):
+        monkeypatch.setattr(prefilter, "BITS", bits)
+        likely, rest = ([r.k for r in part.collect()] for part in prefilter.split(rows, "k", keys))
+        assert {k for k in range(14, 3000, 7) if k % 50} <= set(likely)
+        assert len(likely) + len(rest) == 3000
+    assert len(likely) < 450
+    assert prefilter.likely_in(rows, "k", keys.limit(0)).count() == 0
+
+
 # Passages
 
 
