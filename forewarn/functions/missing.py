@@ -12,6 +12,11 @@ def number_or_null(column: Column) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
+def is_missing(name: str) -> Column:
+    """Null or NaN."""
+    return F.col(name).isNull() | F.isnan(F.col(name).cast("double"))
+
+
 def ratio(numerator: Column, denominator: Column, otherwise: Column | None = None) -> Column:
     """Division guarded against a zero denominator."""
     guarded = F.when(denominator != 0, numerator / denominator)

@@ -19,6 +19,13 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
+def join_summary(rows: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of a per-chunk summary, in which a null key meets a null key."""
+    renamed = summary.withColumnsRenamed({name: f"_on_{name}" for name in on})
+    same = [F.col(name).eqNullSafe(F.col(f"_on_{name}")) for name in on]
+    return rows.join(renamed, same, "left").drop(*[f"_on_{name}" for name in on])
+
+
 def previous_in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,7 +51,7 @@ def previous_in_order(
         {"_place": F.row_number().over(inside)}
         | {f"_local_{name}": F.lag(source).over(inside) for name, source in columns.items()}
     )
-    joined = local.join(carried, [*keys, *chunk], "left")
+    joined = join_summary(local, carried, [*keys, *chunk])
     picked = {
         name: F.when(F.col("_place") == 1, F.col(f"_carried_{name}")).otherwise(F.col(f"_local_{name}"))
         for name in columns
@@ -85,7 +92,7 @@ def running_sums(
         *[F.coalesce(F.sum(f"_chunk_{n}").over(across), F.lit(0)).alias(f"_before_{n}") for n in columns],
     )
     local = df.withColumns({f"_inside_{n}": F.sum(s).over(inside) for n, s in columns.items()})
-    joined = local.join(before, [*keys, *chunk], "left")
+    joined = join_summary(local, before, [*keys, *chunk])
     totals = {n: F.col(f"_inside_{n}") + F.col(f"_before_{n}") for n in columns}
     return joined.withColumns(totals).drop(
         *[f"_inside_{n}" for n in columns], *[f"_before_{n}" for n in columns]

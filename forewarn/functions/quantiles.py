@@ -11,10 +11,15 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forewarn.functions.ordered import running_sums
+
 # Keeps every magnitude bucket positive: the smallest double is 2^-1074, at most
 # 65536 buckets per octave.
 _OFFSET = 1 << 27
 
+# Ranges of value into which a bucket is cut before it is ordered.
+SLICES = 1024
+
 
 def magnitude_bucket(value: Column, per_octave: int = 4096) -> Column:
     """A coarse integer that never decreases as the double grows.
@@ -64,7 +69,7 @@ def exact_percentiles(
     value: str,
     probabilities: Mapping[str, float],
     count: str | None = None,
-    keys_are_parameters: bool = True,
+    keys_are_parameters: bool = False,
     per_octave: int = 4096,
 ) -> DataFrame:
     """Percentiles per key over any number of values.
@@ -75,16 +80,17 @@ def exact_percentiles(
     skipped by Spark at run time when there are none.
 
     The table of buckets to refine holds at most ``2 * len(probabilities)`` rows
-    per key. While the keys are a parameter set (sensors, channels, grid cells)
-    its size does not grow with the data and it is broadcast; otherwise pass
-    ``keys_are_parameters=False`` and Spark picks the join by measured size.
-    ``per_octave`` trades rows in pass one against rows in pass two. Keys must not
-    be null.
+    per key. Spark picks the join by measured size; only where the keys are a
+    parameter set (sensors, channels) may a caller pass ``keys_are_parameters`` to
+    have the table broadcast. A bucket to refine is cut into ``SLICES`` equal
+    ranges of value, which are ordered apart, so many readings in a narrow band
+    don't meet in one task. ``per_octave`` trades rows in pass one against rows in
+    pass two. NaN is a missing value. Keys must not be null.
     """
     keys = list(keys)
     placed = (
         df.select(*keys, F.col(value).cast("double").alias(value))
-        .where(F.col(value).isNotNull())
+        .where(F.col(value).isNotNull() & ~F.isnan(value))
         .withColumn("_bucket", magnitude_bucket(F.col(value), per_octave))
     )
     per_bucket = placed.groupBy(*keys, "_bucket").agg(
@@ -103,19 +109,19 @@ def exact_percentiles(
     settled = ranked.withColumn(value, F.when(F.col("_least") == F.col("_most"), F.col("_least"))).select(
         *keys, value, F.col("_before").alias("_start"), F.col("_stop").alias("_end"), "_total"
     )
-    wanted = ranked.where(F.col("_least") < F.col("_most")).select(*keys, "_bucket", "_before", "_total")
+    wanted = ranked.where(F.col("_least") < F.col("_most")).select(
+        *keys, "_bucket", "_before", "_total", "_least", "_most"
+    )
 
     survivors = (
         placed.join(F.broadcast(wanted) if keys_are_parameters else wanted, [*keys, "_bucket"])
-        .groupBy(*keys, "_bucket", "_before", "_total", value)
+        .groupBy(*keys, "_bucket", "_before", "_total", "_least", "_most", value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    refined = survivors.withColumn("_end", F.col("_before") + F.sum("_n").over(inside)).select(
+    share = (F.col(value) - F.col("_least")) / (F.col("_most") - F.col("_least"))
+    sliced = survivors.withColumn("_slice", F.floor(share * SLICES).cast("int"))
+    summed = running_sums(sliced, [*keys, "_bucket"], ["_slice"], [value], {"_upto": "_n"})
+    refined = summed.withColumn("_end", F.col("_before") + F.col("_upto")).select(
         *keys, value, (F.col("_end") - F.col("_n")).alias("_start"), "_end", "_total"
     )
     picked = (

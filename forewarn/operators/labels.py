@@ -8,12 +8,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from forewarn.functions.ordered import join_summary
 from forewarn.functions.timeline import HOUR, SECOND, floor_div, hours_between, micros, naive
 from forewarn.spec import require_columns
 
-# Up to this many intervals are written into the plan as literals; a larger set
-# must come as a table and goes through label_windows_from_table.
-MAX_LITERAL_FAILURES = 64
+# Up to this many intervals are compared one by one inside the scan; a longer list
+# becomes a table and goes through label_windows_from_table, with the same result.
+LITERAL_FAILURES = 64
 
 
 def _one_of(columns: list[Column], combine) -> Column:
@@ -21,15 +22,21 @@ def _one_of(columns: list[Column], combine) -> Column:
 
 
 def label_windows(windows: DataFrame, failures: Sequence[tuple]) -> DataFrame:
-    """Add ``in_failure`` and ``hours_to_next_failure`` from a short list of intervals.
+    """Add ``in_failure`` and ``hours_to_next_failure`` from a list of intervals.
 
     Intervals are half-open: a window that ends exactly when a failure starts is
     not in it (and is 0 hours away); one that starts when it ends is past it.
-    Runs inside the scan stage, no shuffle and no join.
+    A short list runs inside the scan stage, without shuffle or join.
     """
     require_columns(windows.columns, ["window_start", "window_end"], "windows")
-    if not 0 < len(failures) <= MAX_LITERAL_FAILURES:
-        raise ValueError(f"between 1 and {MAX_LITERAL_FAILURES} literal failures; use label_windows_from_table")
+    if not failures:
+        raise ValueError("no failure interval is given")
+    if len(failures) > LITERAL_FAILURES:
+        rows = windows.sparkSession.createDataFrame([(str(f[0]), str(f[1])) for f in failures], "a string, b string")
+        intervals = rows.select(
+            F.col("a").cast("timestamp_ntz").alias("failure_start"), F.col("b").cast("timestamp_ntz").alias("failure_end")
+        )
+        return label_windows_from_table(windows, intervals)
     start, end = F.col("window_start"), F.col("window_end")
     active = reduce(
         lambda a, b: a | b, [(naive(f[0]) < end) & (naive(f[1]) > start) for f in failures]
@@ -101,7 +108,7 @@ def label_windows_from_table(
     return (
         merged.withColumns({"_stop_here": F.max("_stop").over(earlier), "_start_here": F.min("_start").over(later)})
         .where(F.col("_kind") == 0)
-        .join(slices, [*keys, "_slice"], "left")
+        .transform(join_summary, slices, [*keys, "_slice"])
         .select(
             *keys,
             "_window.*",

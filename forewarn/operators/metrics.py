@@ -31,7 +31,8 @@ def ranking_scores(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     above = running_sums(
         scores, keys, ["_bucket"], ["probability"], {"_cum_pos": "_pos", "_cum_neg": "_neg"}, descending=True
     )
-    pos, neg, cum_pos, cum_neg = (F.col(c) for c in ("_pos", "_neg", "_cum_pos", "_cum_neg"))
+    # Products of counts outgrow a long.
+    pos, neg, cum_pos, cum_neg = (F.col(c).cast("double") for c in ("_pos", "_neg", "_cum_pos", "_cum_neg"))
     sums = above.groupBy(*keys).agg(
         F.sum(pos * cum_pos / (cum_pos + cum_neg)).alias("_precision_sum"),
         F.sum(neg * (cum_pos - pos / 2)).alias("_pairs"),
@@ -56,7 +57,7 @@ def prevalence(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def score_medians(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Median score of each class and their gap. Keys are grid cells, a bounded set."""
+    """Median score of each class and their gap."""
     medians = exact_percentiles(predictions, [*keys, "true_label"], "probability", {"_median": 0.5})
     pivoted = medians.groupBy(*keys).agg(
         F.max(F.when(F.col("true_label") == 1, F.col("_median"))).alias("positive_score_median"),

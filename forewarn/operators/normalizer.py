@@ -7,7 +7,11 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forewarn.functions.missing import is_missing
 from forewarn.functions.quantiles import exact_percentiles
+from forewarn.sources.sinks import row_number_of_text
+
+_PARAMETERS = "struct<fallback: double, mean: double, scale: double>"
 
 
 def unknown_windows(steps: DataFrame, training_ids: DataFrame) -> DataFrame:
@@ -21,10 +25,10 @@ def repeated_windows(training_ids: DataFrame) -> DataFrame:
 
 
 def id_fingerprint(ids: DataFrame, column: str = "window_id") -> DataFrame:
-    """Order-independent digest of a set of ids: count and sum of 64-bit hashes."""
+    """Order-independent digest of a set of ids: count and sum of digests that another engine can recompute."""
     return ids.agg(
         F.count(F.lit(1)).alias("ids"),
-        F.sum(F.xxhash64(column).cast("decimal(20,0)")).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(row_number_of_text(F.col(column).cast("string"))), F.lit(0)).cast("string").alias("fingerprint"),
     )
 
 
@@ -40,12 +44,15 @@ def fit_channels(long: DataFrame, standardized: Sequence[str] | None) -> DataFra
 
     ``long`` has ``channel`` and ``reading``; channels are a parameter set, so the
     fallback table that is broadcast has one row per channel. With
-    ``standardized=None`` every channel is scaled.
+    ``standardized=None`` every channel is scaled. A channel without any reading
+    ends the job with an error; ``empty_channels`` lists them beforehand.
     """
-    fallback = exact_percentiles(long, ["channel"], "reading", {"fallback": 0.5})
+    known = exact_percentiles(long, ["channel"], "reading", {"_median": 0.5}, keys_are_parameters=True)
+    empty = F.raise_error(F.concat(F.lit("no reading to learn from in channel "), "channel")).cast("double")
     filled = F.coalesce("reading", "fallback")
     moments = (
-        long.join(F.broadcast(fallback), "channel")
+        long.join(F.broadcast(known), "channel", "left")
+        .withColumn("fallback", F.coalesce("_median", empty))
         .groupBy("channel", "fallback")
         .agg(F.avg(filled).alias("_mean"), F.stddev_pop(filled).alias("_spread"))
     )
@@ -60,6 +67,12 @@ def fit_channels(long: DataFrame, standardized: Sequence[str] | None) -> DataFra
     )
 
 
+def empty_channels(long: DataFrame) -> DataFrame:
+    """Channels of which no reading is known."""
+    counts = long.groupBy("channel").agg(F.count_if(~is_missing("reading")).alias("_known"))
+    return counts.where(F.col("_known") == 0).select("channel")
+
+
 def fit_normalizer(
     steps: DataFrame, training_ids: DataFrame, channels: Sequence[str], standardized: Sequence[str]
 ) -> DataFrame:
@@ -76,17 +89,17 @@ def fit_normalizer(
 def check_training_ids(steps: DataFrame, training_ids: DataFrame) -> None:
     """Raise unless the ids are present, unique and known (runs three small jobs)."""
     if training_ids.isEmpty():
-        raise ValueError("At least one training window is required")
+        raise ValueError("no training window is named")
     if not repeated_windows(training_ids).isEmpty():
-        raise ValueError("Training window IDs must be unique")
+        raise ValueError("a training window is named twice")
     if not unknown_windows(steps, training_ids).isEmpty():
-        raise ValueError("Unknown training window IDs")
+        raise ValueError("a training window has no sequence")
 
 
 def apply_normalizer(steps: DataFrame, parameters: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Fill missing readings with the fallback, then centre and scale.
 
-    The parameters arrive as one map value (an entry per channel), so the wide
+    A channel without parameters is an error. The parameters arrive as one map value (an entry per channel), so the wide
     rows are neither reshaped nor joined.
     """
     lookup = parameters.agg(
@@ -95,6 +108,7 @@ def apply_normalizer(steps: DataFrame, parameters: DataFrame, channels: Sequence
     with_map = steps.withColumn("_parameters", lookup)
     changed = {}
     for name in channels:
-        known = F.col("_parameters")[name]
+        missing = F.raise_error(F.lit(f"no parameters for channel {name}")).cast(_PARAMETERS)
+        known = F.coalesce(F.col("_parameters")[name], missing)
         changed[name] = (F.coalesce(F.col(name).cast("double"), known["fallback"]) - known["mean"]) / known["scale"]
     return with_map.withColumns(changed).drop("_parameters")

@@ -1,31 +1,37 @@
 """Fit classifiers on training windows and score others with MLlib.
 
-A trainer is any callable ``(train, score, params) -> scored`` where ``train`` has
-``features``, ``label`` and ``weight`` columns (and optionally ``is_validation``) and the
-result is ``score`` with a ``probability`` column. Fitting is distributed by
-MLlib; the only loops are over the configured folds.
+A trainer is any callable ``(train, rounds) -> (model, rounds used)`` where ``train``
+has ``features``, ``label``, ``weight`` and ``is_validation`` columns, ``rounds`` is
+None for a fit that may stop early on the validation rows, and the model's
+``transform`` adds ``probability``. Fitting is distributed by MLlib; the only loops
+are over the configured folds and cells.
 """
 
 from __future__ import annotations
 
+import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from statistics import median
-from typing import Callable, Sequence
+from typing import Any, Callable, Mapping, Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from forewarn.operators.splits import class_weights
+from forewarn.sources.sinks import stage_table
 
 TRACE = ["window_id", "segment_id", "window_start", "window_end", "true_label", "probability", "hours_to_next_failure"]
 
 
 @dataclass(frozen=True)
 class TreeParameters:
-    """Boosting settings; the values are those of the study's tree model."""
+    """Boosting settings (fixed values of the study's tree model)."""
 
     max_iterations: int = 500
     step_size: float = 0.05
@@ -85,15 +91,31 @@ def score_with(model, score: DataFrame) -> DataFrame:
     return scored.withColumn("probability", vector_to_array("probability")[1]).drop(*drop)
 
 
-def train_trees(train: DataFrame, score: DataFrame, parameters: TreeParameters) -> DataFrame:
-    """Boosted trees as a trainer callable."""
-    return score_with(fit_trees(train, parameters), score)
+# (train, rounds or None) -> (model, rounds used)
+Trainer = Callable[[DataFrame, "int | None"], tuple[Any, int]]
 
 
-def train_logistic(train: DataFrame, score: DataFrame, parameters: dict | None = None) -> DataFrame:
-    """Weighted logistic regression as a trainer callable, used on flattened sequences."""
-    model = LogisticRegression(weightCol="weight", **({"maxIter": 100, "regParam": 0.01} | (parameters or {})))
-    return score_with(model.fit(train), score)
+def tree_trainer(parameters: TreeParameters) -> Trainer:
+    """Boosted trees; a fit without given rounds stops early on the validation rows."""
+
+    def fit(train: DataFrame, rounds: int | None) -> tuple[Any, int]:
+        if rounds is not None:
+            train = train.drop("is_validation")
+        model = fit_trees(train, parameters, rounds)
+        return model, model.getNumTrees
+
+    return fit
+
+
+def logistic_trainer(parameters: dict | None = None) -> Trainer:
+    """Weighted logistic regression, used on flattened sequences; validation rows are left out."""
+
+    def fit(train: DataFrame, rounds: int | None) -> tuple[Any, int]:
+        options = {"maxIter": 100, "regParam": 0.01} | (parameters or {})
+        model = LogisticRegression(weightCol="weight", **options).fit(train.where(~F.col("is_validation")))
+        return model, model.summary.totalIterations
+
+    return fit
 
 
 def as_trace(scored: DataFrame, **constants) -> DataFrame:
@@ -105,51 +127,61 @@ def as_trace(scored: DataFrame, **constants) -> DataFrame:
     )
 
 
-def run_tree_cell(
-    folds: DataFrame,
-    split: DataFrame,
-    horizon_hours: int,
-    parameters: TreeParameters,
-    model: str = "xgboost",
-) -> tuple[DataFrame, list[int]]:
-    """One (horizon, seed) cell: a fit per fold with early stopping, then a final fit.
+@dataclass(frozen=True)
+class CellResult:
+    """Stored development and holdout predictions of a cell (``fold`` null for holdout), and what they took."""
+
+    trace: DataFrame
+    rounds: tuple[int, ...]
+    development_fit_seconds: float
+    final_fit_seconds: float
+    prediction_seconds: float
+
+
+def run_cell(trainer: Trainer, folds: DataFrame, split: DataFrame, **constants) -> CellResult:
+    """One cell: a fit per fold that its validation rows may stop, then a final fit on all training rows.
 
-    ``folds`` and ``split`` hold labelled rows with ``features``. The final fit uses
-    the median number of trees the folds stopped at. Returns development and
-    holdout predictions (``fold`` is null for holdout) and the fold tree counts.
+    ``folds`` and ``split`` hold labelled rows with ``features``. The final fit uses the median of the rounds
+    that the folds used. The holdout takes no part in any fit.
     """
     names = sorted(row["fold"] for row in folds.select("fold").distinct().collect())
-    cell = {"model": model, "horizon_hours": horizon_hours, "seed": parameters.seed}
-    parts, stops = [], []
+    label = F.col("failure_within_horizon").cast("double")
+    parts, rounds, started = [], [], time.perf_counter()
     for name in names:
         here = folds.where(F.col("fold") == name)
         validation = here.where(F.col("role") == "validation")
         weighted = with_class_weight(here.where(F.col("role") == "train")).withColumn("is_validation", F.lit(False))
-        label = F.col("failure_within_horizon").cast("double")
         watched = validation.withColumns({"label": label, "weight": F.lit(1.0), "is_validation": F.lit(True)})
-        fitted = fit_trees(weighted.unionByName(watched), parameters)
-        stops.append(fitted.getNumTrees)
-        parts.append(as_trace(score_with(fitted, validation), **cell, fold=name))
-    final = fit_trees(
-        with_class_weight(split.where(F.col("split") == "train")), parameters, max(1, int(median(stops)))
-    )
+        model, used = trainer(weighted.unionByName(watched), None)
+        rounds.append(used)
+        parts.append(as_trace(score_with(model, validation), **constants, fold=name))
+    developed = time.perf_counter()
+    train = with_class_weight(split.where(F.col("split") == "train")).withColumn("is_validation", F.lit(False))
+    final, _ = trainer(train, max(1, int(median(rounds))))
+    fitted = time.perf_counter()
     scored = score_with(final, split.where(F.col("split") == "test"))
-    parts.append(as_trace(scored, **cell).withColumn("fold", F.lit(None).cast("string")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result, stops
-
-
-def run_cell(
-    trainer: Callable[[DataFrame, DataFrame, object], DataFrame],
-    train: DataFrame,
-    score: DataFrame,
-    parameters: object,
-    **constants,
-) -> DataFrame:
-    """Fit and score with any trainer; rows come back in trace form."""
-    return as_trace(trainer(with_class_weight(train), score, parameters), **constants)
+    parts.append(as_trace(scored, **constants).withColumn("fold", F.lit(None).cast("string")))
+    trace = stage_table(reduce(DataFrame.unionByName, parts), "trace")
+    return CellResult(trace, tuple(rounds), developed - started, fitted - developed, time.perf_counter() - fitted)
+
+
+def run_cells(cells: Mapping[tuple, Callable[[], CellResult]], at_once: int = 4) -> dict[tuple, CellResult]:
+    """Run cells, some at a time: each is a row of small jobs that leaves most of a cluster idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        running = {cell: pool.submit(inheritable_thread_target(run)) for cell, run in cells.items()}
+        return {cell: future.result() for cell, future in running.items()}
+
+
+def cell_costs(spark: SparkSession, results: Mapping[tuple, CellResult]) -> DataFrame:
+    """Measured seconds of each (model, horizon_hours, seed); one row per cell."""
+    rows = [
+        (*cell, r.development_fit_seconds, r.final_fit_seconds, r.prediction_seconds) for cell, r in results.items()
+    ]
+    return spark.createDataFrame(
+        rows,
+        "model string, horizon_hours int, seed int, development_fit_seconds double, final_fit_seconds double, "
+        "prediction_seconds double",
+    )
 
 
 def feature_importance(spark: SparkSession, model, columns: Sequence[str]) -> DataFrame:
@@ -158,7 +190,5 @@ def feature_importance(spark: SparkSession, model, columns: Sequence[str]) -> Da
     The list is as long as the feature set.
     """
     weights = model.featureImportances.toArray().tolist()
-    rows = [(name, float(w), "named" if w > 0 else "not_used") for name, w in zip(columns, weights)]
-    return spark.createDataFrame(rows, "feature string, importance double, importance_key string").orderBy(
-        F.desc("importance"), "feature"
-    )
+    rows = [(name, float(w)) for name, w in zip(columns, weights)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")

@@ -7,6 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from forewarn.functions.ordered import join_summary
 from forewarn.functions.quantiles import exact_percentiles
 from forewarn.functions.timeline import HOUR, SECOND, floor_div, from_micros, micros
 from forewarn.spec import TelemetrySpec, require_columns
@@ -21,22 +22,22 @@ def _localised(
     df: DataFrame, spec: TelemetrySpec, max_gap_seconds: int, chunk_seconds: int, carry: tuple[str, ...]
 ) -> DataFrame:
     """Per-chunk view: previous reading, breaks so far and latest break, all local to the chunk."""
-    inside = Window.partitionBy(*spec.asset_cols, "_chunk").orderBy("_t")
+    inside = Window.partitionBy(*spec.asset_cols, "__chunk").orderBy("__t")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = df.withColumn("_t", micros(spec.timestamp)).withColumn(
-        "_chunk", floor_div(F.col("_t"), chunk_seconds * SECOND)
+    placed = df.withColumn("__t", micros(spec.timestamp)).withColumn(
+        "__chunk", floor_div(F.col("__t"), chunk_seconds * SECOND)
     )
-    is_break = F.col("_t") - F.col("_previous_t") > max_gap_seconds * SECOND
+    is_break = F.col("__t") - F.col("__previous_t") > max_gap_seconds * SECOND
     return (
         placed.withColumns(
-            {"_previous_t": F.lag("_t").over(inside)}
-            | {f"_previous_{name}": F.lag(name).over(inside) for name in carry}
+            {"__previous_t": F.lag("__t").over(inside)}
+            | {f"__previous_{name}": F.lag(name).over(inside) for name in carry}
         )
-        .withColumn("_break_t", F.when(is_break, F.col("_t")))
+        .withColumn("__break_t", F.when(is_break, F.col("__t")))
         .withColumns(
             {
-                "_breaks": F.count("_break_t").over(upto),
-                "_latest_break": F.max("_break_t").over(upto),
+                "__breaks": F.count("__break_t").over(upto),
+                "__latest_break": F.max("__break_t").over(upto),
             }
         )
     )
@@ -56,7 +57,8 @@ def assign_segments(
     ``max_gap_seconds``. Added columns: ``segment_id``, ``segment_start``,
     ``offset_us`` (microseconds since that start), and ``gap_us``,
     ``previous_timestamp`` and ``previous_<name>`` for each name in ``carry`` (all
-    null on the first reading of a segment).
+    null on the first reading of a segment). All other columns are carried along;
+    names that begin with two underscores are reserved for helpers.
 
     Readings are ordered inside (asset, time slice). One summary row per slice
     carries the segment number, its start and the last reading into the next
@@ -70,58 +72,58 @@ def assign_segments(
     keys = list(spec.asset_cols)
     gap = max_gap_seconds * SECOND
     localised = keep(_localised(df, spec, max_gap_seconds, chunk_seconds, carry))
-    summary = localised.groupBy(*keys, "_chunk").agg(
-        F.min("_t").alias("_chunk_first"),
-        F.max("_t").alias("_chunk_last"),
-        F.count("_break_t").alias("_chunk_breaks"),
-        F.max("_break_t").alias("_chunk_latest_break"),
-        *[F.max_by(name, "_t").alias(f"_chunk_last_{name}") for name in carry],
+    summary = localised.groupBy(*keys, "__chunk").agg(
+        F.min("__t").alias("__chunk_first"),
+        F.max("__t").alias("__chunk_last"),
+        F.count("__break_t").alias("__chunk_breaks"),
+        F.max("__break_t").alias("__chunk_latest_break"),
+        *[F.max_by(name, "__t").alias(f"__chunk_last_{name}") for name in carry],
     )
-    order = Window.partitionBy(*keys).orderBy("_chunk")
+    order = Window.partitionBy(*keys).orderBy("__chunk")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     entry = (
-        summary.withColumn("_entry_t", F.lag("_chunk_last").over(order))
+        summary.withColumn("__entry_t", F.lag("__chunk_last").over(order))
         # The first reading of a slice starts a segment when it is the very first or follows a gap.
         .withColumn(
-            "_entry_break",
-            F.coalesce(F.col("_chunk_first") - F.col("_entry_t") > gap, F.lit(True)),
+            "__entry_break",
+            F.coalesce(F.col("__chunk_first") - F.col("__entry_t") > gap, F.lit(True)),
         )
-        .withColumn("_opens", F.when(F.col("_entry_break"), F.col("_chunk_first")))
-        .withColumn("_newest_start", F.coalesce("_chunk_latest_break", "_opens"))
+        .withColumn("__opens", F.when(F.col("__entry_break"), F.col("__chunk_first")))
+        .withColumn("__newest_start", F.coalesce("__chunk_latest_break", "__opens"))
         .select(
             *keys,
-            "_chunk",
-            "_entry_t",
-            "_entry_break",
-            *[F.lag(f"_chunk_last_{name}").over(order).alias(f"_entry_{name}") for name in carry],
+            "__chunk",
+            "__entry_t",
+            "__entry_break",
+            *[F.lag(f"__chunk_last_{name}").over(order).alias(f"__entry_{name}") for name in carry],
             (
-                F.sum(F.col("_entry_break").cast("long")).over(upto)
-                + F.coalesce(F.sum("_chunk_breaks").over(before), F.lit(0))
+                F.sum(F.col("__entry_break").cast("long")).over(upto)
+                + F.coalesce(F.sum("__chunk_breaks").over(before), F.lit(0))
                 - 1
-            ).alias("_base"),
-            F.coalesce("_opens", F.max("_newest_start").over(before)).alias("_entry_start"),
+            ).alias("__base"),
+            F.coalesce("__opens", F.max("__newest_start").over(before)).alias("__entry_start"),
         )
     )
-    joined = localised.join(keep(entry), [*keys, "_chunk"], "left")
-    first_here = F.col("_previous_t").isNull()
-    starts = (first_here & F.col("_entry_break")) | F.col("_break_t").isNotNull()
-    previous_t = F.coalesce("_previous_t", "_entry_t")
-    start_t = F.coalesce("_latest_break", "_entry_start")
+    joined = join_summary(localised, keep(entry), [*keys, "__chunk"])
+    first_here = F.col("__previous_t").isNull()
+    starts = (first_here & F.col("__entry_break")) | F.col("__break_t").isNotNull()
+    previous_t = F.coalesce("__previous_t", "__entry_t")
+    start_t = F.coalesce("__latest_break", "__entry_start")
     added = {
-        "segment_id": F.col("_base") + F.col("_breaks"),
+        "segment_id": F.col("__base") + F.col("__breaks"),
         "segment_start": from_micros(start_t),
-        "offset_us": F.col("_t") - start_t,
-        "gap_us": F.when(~starts, F.col("_t") - previous_t),
+        "offset_us": F.col("__t") - start_t,
+        "gap_us": F.when(~starts, F.col("__t") - previous_t),
         "previous_timestamp": F.when(~starts, from_micros(previous_t)),
     } | {
         f"previous_{name}": F.when(
-            ~starts, F.when(first_here, F.col(f"_entry_{name}")).otherwise(F.col(f"_previous_{name}"))
+            ~starts, F.when(first_here, F.col(f"__entry_{name}")).otherwise(F.col(f"__previous_{name}"))
         )
         for name in carry
     }
     result = joined.withColumns(added)
-    return result.drop(*[name for name in result.columns if name.startswith("_")])
+    return result.select(*df.columns, *[name for name in added if name not in df.columns])
 
 
 def segment_profile(segmented: DataFrame, spec: TelemetrySpec) -> DataFrame:
@@ -130,14 +132,14 @@ def segment_profile(segmented: DataFrame, spec: TelemetrySpec) -> DataFrame:
     spans = segmented.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("segment_start").alias("segment_start"),
-        F.max("offset_us").alias("_length"),
+        F.max("offset_us").alias("__length"),
     )
     # Segments are many and their gaps short of the limit, so coarse buckets do.
     gaps = exact_percentiles(
         segmented.where(F.col("gap_us") > 0),
         keys,
         "gap_us",
-        {"_median": 0.5},
+        {"__median": 0.5},
         keys_are_parameters=False,
         per_octave=64,
     )
@@ -145,7 +147,7 @@ def segment_profile(segmented: DataFrame, spec: TelemetrySpec) -> DataFrame:
         *keys,
         "rows",
         "segment_start",
-        F.timestamp_add("MICROSECOND", F.col("_length"), F.col("segment_start")).alias("segment_end"),
-        (F.col("_length") / float(HOUR)).alias("duration_hours"),
-        (F.col("_median") / float(SECOND)).alias("cadence_seconds"),
+        F.timestamp_add("MICROSECOND", F.col("__length"), F.col("segment_start")).alias("segment_end"),
+        (F.col("__length") / float(HOUR)).alias("duration_hours"),
+        (F.col("__median") / float(SECOND)).alias("cadence_seconds"),
     )

@@ -181,11 +181,24 @@ def apply_thresholds(
 ) -> DataFrame:
     """Hard predictions under the reference and the selected threshold.
 
-    ``thresholds`` has one row per grid key, so its size is set by parameters.
+    Every row needs exactly one threshold of its key; none or several end the job
+    with an error (``threshold_problems`` lists them beforehand).
     """
-    chosen = thresholds.select(*keys, F.col("threshold").alias("operational_threshold"))
+    chosen = thresholds.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_records"), F.max("threshold").alias("_threshold")
+    )
+    wrong = F.raise_error(
+        F.concat(
+            F.coalesce(F.col("_records"), F.lit(0)).cast("string"),
+            F.lit(" thresholds instead of one for "),
+            F.concat_ws("/", *[F.col(k).cast("string") for k in keys]),
+        )
+    ).cast("double")
+    one = F.when((F.col("_records") == 1) & F.col("_threshold").isNotNull(), F.col("_threshold")).otherwise(wrong)
     return (
-        holdout.join(F.broadcast(chosen), list(keys))
+        holdout.join(chosen, list(keys), "left")
+        .withColumn("operational_threshold", one)
+        .drop("_records", "_threshold")
         .withColumn("reference_prediction", (F.col("probability") >= policy.reference).cast("int"))
         .withColumn(
             "operational_prediction", (F.col("probability") >= F.col("operational_threshold")).cast("int")
@@ -193,6 +206,17 @@ def apply_thresholds(
     )
 
 
+def threshold_problems(holdout: DataFrame, thresholds: DataFrame, keys: Sequence[str] = ("model", "horizon_hours")) -> DataFrame:
+    """Keys of the holdout without exactly one threshold, with the number of records."""
+    found = thresholds.where(F.col("threshold").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_records"))
+    records = F.coalesce("_records", F.lit(0))
+    return (
+        holdout.select(*keys).distinct().join(found, list(keys), "left")
+        .where(records != 1)
+        .select(*keys, records.alias("records"))
+    )
+
+
 def threshold_records(thresholds: DataFrame, policy: ThresholdPolicy, seeds: Sequence[int]) -> DataFrame:
     """The nested record kept for each model and horizon."""
     return thresholds.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forewarn.functions.timeline import HOUR, SECOND, floor_div, iso_text
 from forewarn.spec import TelemetrySpec, WindowPolicy, require_columns
 
-# Columns of a window table that are never model features.
+# Columns of a window table that are never model features (fixed values).
 NON_FEATURE_COLUMNS = (
     "segment_id",
     "window_id",
@@ -20,6 +20,9 @@ NON_FEATURE_COLUMNS = (
     "failure_within_horizon",
     "in_failure",
     "hours_to_next_failure",
+    "horizon_hours",
+    "seed",
+    "true_label",
 )
 
 
@@ -133,7 +136,7 @@ def degenerate_windows(windows: DataFrame, spec: TelemetrySpec) -> DataFrame:
 def require_rates(windows: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """The same windows; the job fails on the first one without a rate of change."""
     rate = f"{next(iter(spec.analogue))}_roc_per_hour"
-    message = F.lit("A feature window needs at least two increasing timestamps")
+    message = F.lit("the readings of a feature window span no time")
     return windows.withColumn(
         rate, F.when(F.col(rate).isNull(), F.raise_error(message).cast("double")).otherwise(F.col(rate))
     )
@@ -155,9 +158,12 @@ def predictive_windows(labelled: DataFrame, spec: TelemetrySpec) -> DataFrame:
     return labelled.where(~F.col("in_failure")).withColumn("window_id", window_id(spec))
 
 
-def feature_columns(df: DataFrame, also_exclude: tuple[str, ...] = ()) -> list[str]:
-    """Numeric columns that describe readings rather than identity or outcome."""
+def feature_columns(df: DataFrame, also_exclude: tuple[str, ...] = (), spec: TelemetrySpec | None = None) -> list[str]:
+    """Numeric columns that describe readings rather than identity, grid cell or outcome.
+
+    With ``spec`` its asset columns are left out too.
+    """
     from pyspark.sql.types import NumericType
 
-    skipped = {*NON_FEATURE_COLUMNS, *also_exclude}
+    skipped = {*NON_FEATURE_COLUMNS, *also_exclude, *(spec.asset_cols if spec else ())}
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in skipped]

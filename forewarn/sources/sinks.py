@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from forewarn.functions.timeline import micros
 
 
 def write_quarantine(quarantined: DataFrame, path: str, fmt: str = "parquet") -> bool:
@@ -39,12 +43,30 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _plain_text(field: T.StructField) -> Column:
+    """A column as text that any engine can write: doubles in millionths, times in microseconds."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        column = F.round(column.cast("double") * 1e6).cast("long")
+    elif isinstance(field.dataType, T.TimestampNTZType):
+        column = micros(column)
+    return F.coalesce(column.cast("string"), F.lit("~"))
+
+
+def row_number_of_text(text: Column) -> Column:
+    """The first 60 bits of the text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-independent digest that repeated rows do not cancel."""
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(20,0)")
+    """Row count and an order-independent digest that repeated rows do not cancel.
+
+    It is the sum of digests of the rows' texts, so another engine can recompute it.
+    """
+    text = F.concat_ws("|", *[_plain_text(field) for field in df.schema])
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("fingerprint"),
+        F.coalesce(F.sum(row_number_of_text(text)), F.lit(0)).cast("string").alias("fingerprint"),
     )
 
 
@@ -69,7 +91,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a shared folder")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="forewarn-"))
     return spark.sparkContext.getCheckpointDir()

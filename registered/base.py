@@ -57,6 +57,11 @@ def rounded(body: str, *columns: str) -> str:
     return f"SELECT * REPLACE ({changes}) FROM ({body})"
 
 
+def digest(text: str) -> str:
+    """SQL for the number that ``row_number_of_text`` makes of a text."""
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS UBIGINT)"
+
+
 def _timestamp(text: str) -> str:
     return f"TIMESTAMP '{text}'"
 

@@ -273,14 +273,14 @@ def fa2(study):
     "th1_candidates_reached",
     sql(
         "SELECT model, horizon_hours, seed, window_id, (SELECT CAST(count(*) AS INTEGER) FROM candidates c"
-        " WHERE c.threshold <= t.probability) AS reached FROM traces t WHERE horizon_hours = 1",
+        " WHERE c.threshold <= t.probability) AS reached FROM traces t",
         SWEEP_CTES,
     ),
 )
 def th1(study):
     from forewarn.operators.thresholds import candidates_reached
 
-    traces = study.with_stored_windows().traces().where(F.col("horizon_hours") == 1)
+    traces = study.with_stored_windows().traces()
     return traces.select(*CELL, "window_id", candidates_reached(F.col("probability"), THRESHOLDS).alias("reached"))
 
 

@@ -1,7 +1,14 @@
-"""MLlib fits. They have no SQL counterpart; scores are checked to be probabilities."""
+"""MLlib fits of every horizon and seed.
+
+Scores have no SQL counterpart; what is determined has: which rows are scored under which cell and fold, their labels,
+and that every score is a probability.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forewarn.operators.labels import label_horizon
@@ -12,53 +19,85 @@ from forewarn.operators.scoring import (
     assemble_sequences,
     feature_importance,
     fit_trees,
+    logistic_trainer,
     run_cell,
-    run_tree_cell,
-    train_logistic,
+    run_cells,
+    tree_trainer,
     with_class_weight,
 )
 from forewarn.operators.sequences import pack_sequences, sequence_channels
-from forewarn.plans.events_study import CLEAN, SEQUENCE
+from forewarn.plans.events_study import CLEAN, GRID, SEQUENCE
 from forewarn.sources.sinks import stage_table
-from registered.base import FEATURES, query
+from registered.base import FEATURES, query, sql
 
-# Fewer rounds than the default, so that a check of all queries stays short.
-TREES = TreeParameters(max_iterations=12, step_size=0.1, seed=42)
-HORIZON = 12
+
+def _scored_sql(model: str) -> str:
+    return sql(
+        f"""SELECT '{model}' AS model, horizon_hours, seed, fold, window_id,
+             CAST(coalesce(hours_to_next_failure <= horizon_hours, false) AS INTEGER) AS true_label,
+             true AS is_probability
+           FROM traced, horizons, seeds"""
+    )
+
+
+def _checked(traces: list[DataFrame]) -> DataFrame:
+    score = F.col("probability")
+    return reduce(DataFrame.unionByName, traces).select(
+        "model",
+        "horizon_hours",
+        "seed",
+        "fold",
+        "window_id",
+        "true_label",
+        F.coalesce(score.between(0, 1) & ~F.isnan(score), F.lit(False)).alias("is_probability"),
+    )
 
 
-@query("ml1_boosted_tree_cell")
+@query("ml1_boosted_tree_cell", _scored_sql("gbt"))
 def ml1(study):
     study = study.with_stored_windows()
-    folds = assemble_features(label_horizon(study.folds(), HORIZON), FEATURES)
-    split = assemble_features(label_horizon(study.split(), HORIZON), FEATURES)
-    trace, _ = run_tree_cell(stage_table(folds, "folds"), stage_table(split, "split"), HORIZON, TREES)
-    return trace
+    folds = stage_table(assemble_features(study.folds(), FEATURES), "folds")
+    split = stage_table(assemble_features(study.split(), FEATURES), "split")
 
+    def cell(horizon, seed):
+        trainer = tree_trainer(TreeParameters(seed=seed))
+        rows = label_horizon(folds, horizon), label_horizon(split, horizon)
+        return lambda: run_cell(trainer, *rows, model="gbt", horizon_hours=horizon, seed=seed)
 
-@query("ml2_sequence_classifier_cell")
+    done = run_cells({("gbt", h, s): cell(h, s) for h in GRID.horizons for s in GRID.seeds})
+    return _checked([result.trace for result in done.values()])
+
+
+@query("ml2_sequence_classifier_cell", _scored_sql("sequence_logistic"))
 def ml2(study):
+    """Readings are normalised by the final training windows of the split, which precede every holdout window.
+
+    The fit has no random part, so one fit serves every seed.
+    """
     study = study.with_stored_windows()
     channels = sequence_channels(CLEAN)
-    split = label_horizon(study.split(), HORIZON)
     steps = stage_table(study.steps(), "sequences")
-    ids = split.where(F.col("split") == "train").select("window_id")
-    fitted = fit_normalizer(steps, ids, channels, tuple(CLEAN.analogue))
+    split = study.split()
+    fitted = fit_normalizer(steps, split.where(F.col("split") == "train").select("window_id"), channels, tuple(CLEAN.analogue))
     packed = pack_sequences(apply_normalizer(steps, fitted, channels), CLEAN, SEQUENCE).select("window_id", "sequence")
-    rows = stage_table(assemble_sequences(packed.join(split, "window_id")), "vectors")
-    return run_cell(
-        train_logistic,
-        rows.where(F.col("split") == "train"),
-        rows.where(F.col("split") == "test"),
-        {"maxIter": 50},
-        model="tcn",
-        horizon_hours=HORIZON,
-        seed=42,
-    )
+    vectors = stage_table(assemble_sequences(packed).drop("sequence"), "vectors")
+    folds, split = study.folds().join(vectors, "window_id"), split.join(vectors, "window_id")
 
+    def cell(horizon):
+        rows = label_horizon(folds, horizon), label_horizon(split, horizon)
+        return lambda: run_cell(logistic_trainer(), *rows, model="sequence_logistic", horizon_hours=horizon)
 
-@query("ml3_feature_importance")
+    done = run_cells({("sequence_logistic", h): cell(h) for h in GRID.horizons})
+    seeds = F.explode(F.array(*[F.lit(s) for s in GRID.seeds]))
+    return _checked([result.trace.withColumn("seed", seeds) for result in done.values()])
+
+
+@query(
+    "ml3_feature_importance",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{name}', true)" for name in FEATURES) + ") AS t(feature, is_share)",
+)
 def ml3(study):
-    split = label_horizon(study.with_stored_windows().split(), HORIZON)
+    split = label_horizon(study.with_stored_windows().split(), 1)
     train = stage_table(assemble_features(split.where(F.col("split") == "train"), FEATURES), "train")
-    return feature_importance(study.spark, fit_trees(with_class_weight(train), TREES), FEATURES)
+    found = feature_importance(study.spark, fit_trees(with_class_weight(train), TreeParameters()), FEATURES)
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"))

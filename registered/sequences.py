@@ -22,7 +22,7 @@ from forewarn.operators.sequences import (
 )
 from forewarn.plans.events_study import CLEAN, SEQUENCE
 from forewarn.sources.sinks import stage_table
-from registered.base import query, rounded, sql
+from registered.base import digest, query, rounded, sql
 
 CHANNELS = sequence_channels(CLEAN)
 STANDARDIZED = tuple(CLEAN.analogue)
@@ -252,7 +252,13 @@ def nm1_checks(study):
     return counted.withColumn("repeated_ids", repeated)
 
 
-@query("nm1_training_fingerprint")
+@query(
+    "nm1_training_fingerprint",
+    sql(
+        f"SELECT count(*) AS ids, CAST(coalesce(sum({digest('window_id')}), 0) AS VARCHAR) AS fingerprint"
+        " FROM split WHERE split = 'train'"
+    ),
+)
 def nm1_fingerprint(study):
     return id_fingerprint(study.split().where(F.col("split") == "train"))
 

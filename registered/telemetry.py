@@ -29,7 +29,7 @@ from forewarn.plans.events_study import CLEAN, DIRTY, FLEET
 from forewarn.sources.sinks import fresh_path, table_fingerprint, write_quarantine
 from forewarn.sources.telemetry import coerce, scan_csv, scan_parquet
 from forewarn.spec import TelemetrySpec, WindowPolicy
-from registered.base import query, rounded, sql
+from registered.base import digest, query, rounded, sql
 
 DIRTY_SQL = dict(minute=True, value_limit=200.0)
 FLEET_POLICY = WindowPolicy(86400, 43200, 43200, 0.5)
@@ -390,6 +390,13 @@ def snk1(study):
     return study.spark.read.parquet(path).select("event_id", "value")
 
 
-@query("snk4_table_fingerprint")
+_ROW_TEXT = """concat_ws('|', coalesce(CAST(event_id AS VARCHAR), '~'), CAST(epoch_us(ts) AS VARCHAR),
+    CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR), CAST(CAST(round(k * 1e6) AS BIGINT) AS VARCHAR))"""
+
+
+@query(
+    "snk4_table_fingerprint",
+    sql(f"SELECT count(*) AS rows, CAST(coalesce(sum({digest(_ROW_TEXT)}), 0) AS VARCHAR) AS fingerprint FROM valid"),
+)
 def snk4(study):
-    return table_fingerprint(study.valid())
+    return table_fingerprint(study.valid().select("event_id", "ts", "value", "k"))
