@@ -62,11 +62,34 @@ def split_problem(split_counts: DataFrame, boundary: str) -> DataFrame:
     return split_counts.withColumn("split_error", text)
 
 
+def fold_problems(fold_rows: DataFrame, folds: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Configured folds without training or without validation windows: (fold, train, validation)."""
+    names = fold_rows.sparkSession.createDataFrame([(name,) for name, _, _ in folds], "fold string")
+    counts = fold_rows.groupBy("fold").agg(
+        F.count_if(F.col("role") == "train").alias("_train"), F.count_if(F.col("role") == "validation").alias("_held")
+    )
+    train, held = F.coalesce("_train", F.lit(0)), F.coalesce("_held", F.lit(0))
+    return (
+        names.join(counts, "fold", "left")
+        .select("fold", train.alias("train"), held.alias("validation"))
+        .where((F.col("train") == 0) | (F.col("validation") == 0))
+    )
+
+
+def require_folds(fold_rows: DataFrame, folds: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """The same rows, after a check that each fold has both sides."""
+    empty = sorted(row["fold"] for row in fold_problems(fold_rows, folds).collect())
+    if empty:
+        raise ValueError(f"folds with an empty side: {', '.join(empty)}")
+    return fold_rows
+
+
 def development_folds(windows: DataFrame, folds: Sequence[tuple[str, str, str]]) -> DataFrame:
     """One row per window and fold it takes part in, with ``fold`` and ``role``.
 
     Role ``validation`` covers ends in [start, stop) of the fold; ``train`` covers
-    earlier windows that share no readings with the validation part.
+    earlier windows that share no readings with the validation part. A fold without
+    validation windows gives no rows; see ``fold_problems`` and ``require_folds``.
     """
     require_columns(windows.columns, ["window_start", "window_end"], "windows")
     table = F.array(

@@ -147,7 +147,7 @@ def jn2(study):
 
 FLEET_FAILURES = """fleet_failures AS (
   SELECT user_id, ts AS failure_start, ts + INTERVAL 5 HOUR AS failure_end FROM events
-  WHERE event_type = 'error' AND value > 60),
+  WHERE event_type = 'error'),
 fleet_labels AS (
   SELECT w.user_id, w.segment_id, w.window_start, w.window_end,
     EXISTS (SELECT 1 FROM fleet_failures f WHERE f.user_id = w.user_id AND f.failure_start < w.window_end
@@ -165,7 +165,7 @@ def jn2_fleet(study):
     """Failures taken from the data, one machine per user, joined without pairing."""
     failures = (
         study.table("events")
-        .where((F.col("event_type") == "error") & (F.col("value") > 60))
+        .where(F.col("event_type") == "error")
         .select(
             "user_id",
             F.col("ts").cast("timestamp_ntz").alias("failure_start"),
