@@ -147,7 +147,7 @@ def require_valid(report: DataFrame) -> None:
     """Raise with the collected messages unless the one-row report is valid."""
     row = report.first()
     if not row["valid"]:
-        raise ValueError(f"Experiment evidence validation failed: {'; '.join(row['errors'])}")
+        raise ValueError(f"evidence is not valid: {'; '.join(row['errors'])}")
 
 
 def fold_problems(folds: DataFrame, holdout_start: str) -> DataFrame:
@@ -159,8 +159,8 @@ def fold_problems(folds: DataFrame, holdout_start: str) -> DataFrame:
     before = F.lag("validation_end").over(Window.orderBy("validation_start"))
     start, end = F.col("validation_start"), F.col("validation_end")
     problem = (
-        F.when((start >= end) | (end >= naive(holdout_start)), "Development folds must be ordered before final holdout")
-        .when(F.col("_before") > start, "Development folds cannot overlap")
+        F.when((start >= end) | (end >= naive(holdout_start)), "the fold is empty or reaches the holdout")
+        .when(F.col("_before") > start, "the fold begins inside the one before")
     )
     return folds.withColumn("_before", before).select("fold", problem.alias("problem"))
 

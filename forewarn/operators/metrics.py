@@ -103,9 +103,9 @@ def ranking_problems(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(label == 0).alias("_neg"),
     )
     problem = (
-        F.when(F.col("_labels") > 0, "Labels must be binary")
-        .when(F.col("_scores") > 0, "Probabilities must be finite values in [0, 1]")
-        .when((F.col("_pos") == 0) | (F.col("_neg") == 0), "Ranking metrics require both classes")
+        F.when(F.col("_labels") > 0, "a label is neither 0 nor 1")
+        .when(F.col("_scores") > 0, "a score is no number from 0 to 1")
+        .when((F.col("_pos") == 0) | (F.col("_neg") == 0), "one of the classes is missing")
     )
     return found.select(*keys, problem.alias("problem")).where(F.col("problem").isNotNull())
 

@@ -125,7 +125,7 @@ def resample_windows(
     require_columns(segmented.columns, [*keys, *spec.required], "sequence source")
     require_columns(windows.columns, [*keys, "window_id", "window_start", "window_end"], "windows")
     if policy is not None and policy.window_seconds != sequence.bin_seconds * sequence.steps:
-        raise ValueError("Sequence dimensions do not cover the configured history")
+        raise ValueError("bins and steps must make up the window's length")
     if "cadence_seconds" not in windows.columns:
         windows = windows.withColumn("cadence_seconds", F.lit(None).cast("double"))
     if profile is not None:
@@ -150,7 +150,7 @@ def resample_windows(
         binned = _window_bins(segmented, accepted, spec, sequence)
     # greatest and least skip nulls, so both inputs are made non-null first.
     known_cadence = F.coalesce(
-        "_cadence", F.raise_error(F.concat(F.lit("Cannot determine cadence for "), F.col("window_id"))).cast("double")
+        "_cadence", F.raise_error(F.concat(F.lit("no cadence is known for "), F.col("window_id"))).cast("double")
     )
     expected = F.greatest(F.lit(1.0), F.lit(float(sequence.bin_seconds)) / known_cadence)
     observed = F.least(F.lit(1.0), F.coalesce("rows_in_bin", F.lit(0)) / expected)
@@ -195,6 +195,6 @@ def windows_without_source(segmented: DataFrame, windows: DataFrame, spec: Telem
     no_rows = bounds.join(no_segment.select("window_id"), "window_id", "left_anti").join(
         covered, "window_id", "left_anti"
     )
-    return no_segment.select("window_id", F.lit("No source observations for the segment").alias("problem")).unionByName(
-        no_rows.select("window_id", F.lit("Feature window contains no source rows").alias("problem"))
+    return no_segment.select("window_id", F.lit("the segment has no readings").alias("problem")).unionByName(
+        no_rows.select("window_id", F.lit("the window has no readings").alias("problem"))
     )

@@ -50,6 +50,7 @@ def split_problem(split_counts: DataFrame, boundary: str) -> DataFrame:
 
     Needs columns ``windows``, ``before`` (ending before the boundary), ``test`` and ``train``.
     """
+    # Texts that audit reports keep as data (fixed values).
     text = (
         F.when(F.col("windows") == 0, "No complete feature windows were produced")
         .when(F.col("windows") < 5, "Need at least 5 windows for evaluation")

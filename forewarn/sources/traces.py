@@ -84,7 +84,7 @@ def scan_trace(
 def load_trace(spark: SparkSession, path: str, model: str, horizon_hours: int, event: str) -> DataFrame:
     """The same, raising when there are no rows."""
     return require_rows(
-        scan_trace(spark, path, model, horizon_hours, event), f"No trace for {model}, h{horizon_hours}, {event}"
+        scan_trace(spark, path, model, horizon_hours, event), f"no predictions of {model}, {horizon_hours} h, for {event}"
     )
 
 

@@ -94,9 +94,9 @@ class WindowPolicy:
 
     def __post_init__(self) -> None:
         if self.window_seconds <= 0 or self.step_seconds <= 0:
-            raise ValueError("window_seconds and step_seconds must be positive")
+            raise ValueError("windows and steps need a positive length")
         if not 0 < self.min_coverage <= 1:
-            raise ValueError("min_coverage must be in (0, 1]")
+            raise ValueError("coverage must be above 0 and at most 1")
 
 
 @dataclass(frozen=True)

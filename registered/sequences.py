@@ -161,9 +161,9 @@ def ts12(study):
     sql(
         """SELECT problem, count(*) AS windows FROM (
              SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM kept s WHERE s.segment_id = p.segment_id)
-                 THEN 'No source observations for the segment'
+                 THEN 'the segment has no readings'
                WHEN NOT EXISTS (SELECT 1 FROM kept s WHERE s.segment_id = p.segment_id AND s.ts >= p.window_start
-                 AND s.ts < p.window_end) THEN 'Feature window contains no source rows' END AS problem
+                 AND s.ts < p.window_end) THEN 'the window has no readings' END AS problem
              FROM predictive p) WHERE problem IS NOT NULL GROUP BY 1""",
         "kept AS (SELECT * FROM segmented WHERE k >= 85)",
     ),

@@ -385,9 +385,9 @@ def ts19_missing(study):
     "ev5_fold_check",
     sql(
         f"""SELECT fold, CASE WHEN validation_start >= validation_end OR validation_end >= {HOLDOUT}
-               THEN 'Development folds must be ordered before final holdout'
+               THEN 'the fold is empty or reaches the holdout'
              WHEN lag(validation_end) OVER (ORDER BY validation_start) > validation_start
-               THEN 'Development folds cannot overlap' END AS problem
+               THEN 'the fold begins inside the one before' END AS problem
            FROM (SELECT fold, min(window_start) AS validation_start, max(window_end) AS validation_end
              FROM fold_split WHERE role = 'validation' GROUP BY 1)"""
     ),

@@ -44,7 +44,7 @@ def test_ranking_metrics_equal_brute_force_with_ties(spark):
     assert row["positive_score_median"] == pytest.approx(float(np.median(positives)))
 
 
-@pytest.mark.parametrize("labels,scores,text", [([0, 0], [0.1, 0.2], "both classes"), ([0, 1], [0.1, 1.2], "finite"), ([0, 2], [0.1, 0.2], "binary")])
+@pytest.mark.parametrize("labels,scores,text", [([0, 0], [0.1, 0.2], "classes is missing"), ([0, 1], [0.1, 1.2], "number from 0 to 1"), ([0, 2], [0.1, 0.2], "neither 0 nor 1")])
 def test_unusable_traces_are_described(spark, labels, scores, text):
     assert text in ranking_problems(scored(spark, labels, scores), CELL).first()["problem"]
 
@@ -185,12 +185,12 @@ def test_filters_and_lookups(spark, tmp_path):
     records = read_thresholds(spark, path)
     assert threshold_for(records, "tcn", 1, "development_selected") == 0.3
     assert threshold_for(records, "tcn", 9, "reference_0.5") == 0.5
-    with pytest.raises(ValueError, match="Expected one threshold"):
+    with pytest.raises(ValueError, match="thresholds instead of one"):
         threshold_for(records, "tcn", 3, "development_selected")
     (tmp_path / "list.json").write_text('[{"model": "tcn", "horizon_hours": 6, "seeds": [17],\n "operational": {"threshold": 0.4}}]')
     assert threshold_for(read_thresholds(spark, str(tmp_path / "list.json"), one_document=True), "tcn", 6, "x") == 0.4
     assert failure_time("june_failure", FOLDS, "july_holdout", HOLDOUT_FAILURE) == "2020-06-05 10:00:00"
-    with pytest.raises(ValueError, match="No configured failure time"):
+    with pytest.raises(ValueError, match="no failure is known"):
         failure_time("august", FOLDS, "july_holdout", HOLDOUT_FAILURE)
 
 
@@ -212,5 +212,5 @@ def test_trace_files_by_name_and_by_partition(spark, tmp_path):
     path = str(tmp_path / "parts")
     write_partitioned(df.withColumn("event", F.coalesce("fold", F.lit("july_holdout"))), path)
     assert load_trace(spark, path, "xgboost", 1, "may_failure").count() == 1
-    with pytest.raises(ValueError, match="No trace"):
+    with pytest.raises(ValueError, match="no predictions"):
         load_trace(spark, path, "xgboost", 1, "june_failure")

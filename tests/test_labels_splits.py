@@ -97,7 +97,7 @@ def test_fold_table_check(spark):
     rows = [("a", at(0), at(5)), ("b", at(4), at(8)), ("c", at(9), at(99))]
     folds = spark.createDataFrame(rows, "fold string, validation_start timestamp_ntz, validation_end timestamp_ntz")
     problems = {r["fold"]: r["problem"] for r in fold_problems(folds, "2020-02-02 00:00:00").collect()}
-    assert problems["a"] is None and "overlap" in problems["b"] and "before final holdout" in problems["c"]
+    assert problems["a"] is None and "begins inside" in problems["b"] and "reaches the holdout" in problems["c"]
 
 
 def test_regime_names_and_exclusion_quirk(spark):

@@ -121,7 +121,7 @@ def test_windows_without_elapsed_time_are_found_and_can_fail(spark):
     policy = WindowPolicy(600, 600, 3600, 0.1)
     windows = build(telemetry(spark, [0, 600, 1200, 1800]), policy)
     assert degenerate_windows(windows, SPEC).count() == windows.count() > 0
-    with pytest.raises(Exception, match="two increasing timestamps"):
+    with pytest.raises(Exception, match="span no time"):
         require_rates(windows, SPEC).collect()
 
 
