@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from forewarn.llm.common import map_rows, ship, stage_table
 from forewarn.llm.components import connected_components
+from forewarn.llm.prefilter import likely_in
 from forewarn.llm.shingles import mixed, shingle_set
 
 SHINGLE = 5
@@ -137,10 +138,9 @@ def near_duplicate_groups(
 
     content = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     members = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(
-        F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    buckets = stage_table(buckets.where("hub < top").select("bucket", "hub", "n"), "near-buckets")
+    buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"))
+    buckets = stage_table(buckets.where("hub < top").select("bucket", "hub"), "near-buckets")
+    members = likely_in(members, "bucket", buckets.select("bucket"))
     least = least_matches(percent / 100)
     links = stage_table(_hub_links(nodes, members, buckets, content, shingle, percent, least), "near-links")
     first = stage_table(connected_components(links), "near-components")
@@ -175,8 +175,8 @@ def _hub_links(nodes, members, buckets, content, shingle, percent, least) -> Dat
     likely = stage_table(likely, "near-pairs")
     left = content.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = content.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    wanted_a, wanted_b = likely.select("a").distinct(), likely.select("b").distinct()
-    texts = likely.join(left.join(wanted_a, "a", "left_semi"), "a").join(right.join(wanted_b, "b", "left_semi"), "b")
+    left, right = likely_in(left, "a", likely.select("a")), likely_in(right, "b", likely.select("b"))
+    texts = likely.join(left, "a").join(right, "b")
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
         held, set_held = None, None
@@ -193,20 +193,21 @@ def _rest_links(nodes, members, buckets, first, content, shingle, percent, least
     """Links between members of a bucket that aren't its hub and aren't connected yet; None if there are no such members."""
     names = first.withColumnRenamed("node", "doc_id")
     placed = (
-        members.join(buckets.where("n > 2"), "bucket")
+        members.join(buckets, "bucket")
         .where("doc_id <> hub")
         .join(names, "doc_id", "left")
         .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     )
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
     mixed_buckets = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")
     )
-    mixed_buckets = stage_table(mixed_buckets.where("low < high").select("bucket", "n"), "near-mixed")
+    mixed_buckets = stage_table(mixed_buckets.where("low < high").select("bucket", "blocks"), "near-mixed")
     if mixed_buckets.isEmpty():
         return None
     # Large buckets are dealt into blocks; a member goes to one group with each block, so that all blocks meet.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = placed.join(mixed_buckets, "bucket").join(nodes, "doc_id").withColumn("blocks", blocks)
+    signs = nodes.select("doc_id", "bits", "bands")
+    dealt = placed.join(mixed_buckets, "bucket").join(signs, "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = dealt.select(
@@ -218,9 +219,8 @@ def _rest_links(nodes, members, buckets, first, content, shingle, percent, least
     keys = ["bucket", "i", "j"]
     kind = "bucket long, i int, j int, own int, doc_id long, component long"
     likely = stage_table(_by_group(grouped, keys, _likely_members(least), kind), "near-likely")
-    wanted = likely.select("doc_id").distinct()
-    texts = content.join(wanted, "doc_id", "left_semi")
-    full = likely.join(texts, "doc_id").join(nodes, "doc_id")
+    texts = likely_in(content, "doc_id", likely.select("doc_id"))
+    full = likely.join(texts, "doc_id").join(signs, "doc_id")
     full = full.select(*keys, "own", "doc_id", "component", "bits", "bands", "text")
     return _by_group(full, keys, _confirmed(shingle, percent, least), "a long, b long").distinct()
 
