@@ -41,8 +41,9 @@ HASHES = 128
 ROWS = 4
 BITS = 2
 MARGIN = 6.0
-#: Members of one side of a block comparison.
-BLOCK = 256
+#: Most members, and about as many shingles, on one side of a block comparison.
+BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
 _LONGS = HASHES * BITS // 64
 _LOW = 0x5555555555555555
 
@@ -134,7 +135,7 @@ def near_duplicate_groups(
     classes = stage_table(classes.where("n > 1").select("digest", "rep"), "near-classes")
     named = known.join(classes, "digest", "left")
     alone = F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))
-    nodes = stage_table(named.where(alone).select("doc_id", "bits", "bands"), "near-nodes")
+    nodes = stage_table(named.where(alone).select("doc_id", "n_shingles", "bits", "bands"), "near-nodes")
 
     content = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     members = nodes.select("doc_id", F.explode("bands").alias("bucket"))
@@ -196,9 +197,10 @@ def _rest_links(nodes, members, buckets, first, content, shingle, percent, least
         members.join(buckets, "bucket")
         .where("doc_id <> hub")
         .join(names, "doc_id", "left")
-        .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        .join(nodes.select("doc_id", "n_shingles"), "doc_id")
+        .select("bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     )
-    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     mixed_buckets = placed.groupBy("bucket").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("blocks")
     )
