@@ -16,9 +16,12 @@ empty table gives no sequences. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 from typing import Iterator, Mapping
 
 import numpy as np
@@ -30,18 +33,27 @@ from forewarn.llm.common import map_rows, stage_table
 
 CAPACITY = 2048
 #: Words a worker remembers, and words encoded at once.
-REMEMBERED = 200_000
-AT_ONCE = 200
+REMEMBERED = 400_000
+AT_ONCE = 1000
+#: Characters of text whose unseen words are encoded together.
+TOGETHER = 1_000_000
 #: Fillings tried in one place, and places in the search.
 BRANCHES = 4
 NODES = 6000
 
 
+# How the tokenizer cuts words (fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that may be cut here: Latin-1, no special token, and none of the white space that ASCII lacks.
+_PLAIN = re.compile(r"[^\x85\xa0<\u0100-\U0010ffff]*\Z").match
+
+
 class WordTokens:
     """Ids of a tokenizer that lower-cases and never joins what white space parts, remembered word by word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -50,46 +62,100 @@ class WordTokens:
         self._comma_id = self._tokenizer.token_to_id(self._comma)
         if self._comma_id is None or self._alone("A b\n c") != b"".join(map(self._alone, "abc")):
             raise ValueError("the tokenizer must lower-case, drop white space and know the special token")
+        self._cut = regex.compile(_SPLIT).findall
+        # The same merges over lines, without normalising and cutting.
+        lines = json.loads(self._tokenizer.to_str())
+        lines["normalizer"] = None
+        lines["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]}
+        self._lines = Tokenizer.from_str(json.dumps(lines))
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._known: dict[bytes, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+        tries = ["don't", "Ünï-42²x", "a'S", "\xad\x7f!"]
+        if self._ids([word.encode() for word in tries]) != list(map(self._alone, tries)):
+            raise ValueError("the tokenizer doesn't cut and merge as expected")
 
     def _alone(self, word: str) -> bytes:
         return np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), AT_ONCE):
-            some = [word.decode() for word in words[i : i + AT_ONCE]]
-            if any("<|" in word for word in some):
-                out += map(self._alone, some)
-                continue
-            text = self._comma.join(some)
-            ids = np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            packed, start = ids.tobytes(), 0
-            for end in (np.flatnonzero(ids == self._comma_id) * 4).tolist():
-                out.append(packed[start:end])
-                start = end + 4
-            out.append(packed[start:])
+        out: list[bytes | None] = [None] * len(words)
+        cut: dict[int, list[str]] = {}
+        rest = []
+        for i, word in enumerate(map(bytes.decode, words)):
+            # Latin-1 words need no normalising but lower case, and are cut here as the tokenizer cuts them.
+            if _PLAIN(word):
+                cut[i] = [word.lower()] if word.isalpha() else self._cut(word.lower())
+            else:
+                rest.append(i)
+        if cut:
+            self._merge(set(chain.from_iterable(cut.values())))
+        known = self._parts
+        for i, parts in cut.items():
+            out[i] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+        for start in range(0, len(rest), AT_ONCE):
+            some = rest[start : start + AT_ONCE]
+            for i, ids in zip(some, self._together([words[i].decode() for i in some])):
+                out[i] = ids
         return out
 
+    def _merge(self, parts: set[str]) -> None:
+        """Remember the ids of parts; each ends with the only token of it that ends a word."""
+        unseen = parts.difference(self._parts)
+        if len(self._parts) + len(unseen) > REMEMBERED:
+            self._parts.clear()
+            unseen = parts
+        unseen = list(unseen)
+        for i in range(0, len(unseen), AT_ONCE):
+            some = unseen[i : i + AT_ONCE]
+            ids = np.asarray(self._lines.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise ValueError("a part must have one last token")
+            packed, start = ids.tobytes(), 0
+            for part, end in zip(some, ends.tolist()):
+                self._parts[part] = packed[start:end]
+                start = end
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the whole tokenizer, encoded at once."""
+        if any("<|" in word for word in words):
+            return [self._alone(word) for word in words]
+        ids = self._tokenizer.encode_batch_fast([self._comma.join(words)], add_special_tokens=False)[0].ids
+        ids = np.asarray(ids, "<u4")
+        packed, start, out = ids.tobytes(), 0, []
+        for end in (np.flatnonzero(ids == self._comma_id) * 4).tolist():
+            out.append(packed[start:end])
+            start = end + 4
+        return [*out, packed[start:]]
+
     def encode(self, text: str) -> bytes:
         """Packed ids. Words are parted at ASCII white space, which every definition of white space has."""
-        data = text.encode()
-        if b"<|" not in data:
-            data = data.lower()  # the ASCII letters, which the tokenizer would lower-case too
-        words, step = data.split(), REMEMBERED // 2
-        return b"".join(self._joined(words[i : i + step]) for i in range(0, len(words), step))
-
-    def _joined(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self._known.__getitem__, words))
-        except KeyError:
-            unseen = set(words).difference(self._known)
+        return next(iter(self.encode_all([text])))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of each text; unseen words of all of them are encoded together."""
+        split = [self._words(text) for text in texts]
+        unseen = set().union(*split).difference(self._known)
         if len(self._known) + len(unseen) > REMEMBERED:
             self._known.clear()
-            unseen = set(words)
+            unseen = set().union(*split)
         unseen = list(unseen)
         self._known.update(zip(unseen, self._ids(unseen)))
-        return b"".join(map(self._known.__getitem__, words))
+        for words in split:
+            yield b"".join(map(self._known.__getitem__, words))
+
+    @staticmethod
+    def _words(text: str) -> list[bytes]:
+        data = text.encode()
+        if b"<|" not in data:
+            data = data.lower()  # the ASCII letters, which the tokenizer would lower-case too
+        return data.split()
 
 
 @lru_cache(maxsize=2)
@@ -97,6 +163,19 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in groups of about ``TOGETHER`` characters of text."""
+    some, n = [], 0
+    for row in rows:
+        some.append(row)
+        n += len(row[1] or "")
+        if n >= TOGETHER:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def token_pieces(
     texts: DataFrame, path: str, capacity: int = CAPACITY, close: int = 0, keep_ids: bool = True,
     key: str = "doc_id", text: str = "text",
@@ -110,13 +189,15 @@ def token_pieces(
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
         tokens, chunk = word_tokens(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for name, content in incoming:
-            packed = tokens.encode(content or "") + end
-            for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
-                part = packed[at : at + 4 * capacity]
-                length = len(part) // 4
-                yield name, piece, at // 4, length, zlib.crc32(part), part if keep_ids else None, chunk, seen[length]
-                seen[length] += 1
+        for some in _together(incoming):
+            for (name, _), packed in zip(some, tokens.encode_all([content or "" for _, content in some])):
+                packed += end
+                for piece, at in enumerate(range(0, len(packed), 4 * capacity)):
+                    part = packed[at : at + 4 * capacity]
+                    length = len(part) // 4
+                    ids = part if keep_ids else None
+                    yield name, piece, at // 4, length, zlib.crc32(part), ids, chunk, seen[length]
+                    seen[length] += 1
 
     kind = dict(texts.dtypes)[key]
     schema = (
