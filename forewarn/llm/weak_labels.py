@@ -34,9 +34,9 @@ from forewarn.llm.common import map_rows, ship, stage_table
 NOTHING, ACCEPT, REJECT = 0, 1, 2
 TASKS = ("quality", "toxicity")
 #: Width of the hashed feature space and documents to fit on.
-WIDTH = 1 << 18
+WIDTH = 1 << 17
 TRAIN_ROWS = 30_000
-ITERATIONS = 40
+ITERATIONS = 25
 REGULARISATION = 0.001
 REMEMBERED = 200_000
 
@@ -233,7 +233,8 @@ def fit_scorers(
         regression = LogisticRegression(
             weightCol="weight", maxIter=ITERATIONS, regParam=REGULARISATION, standardization=False
         )
-        model = regression.fit(train.where("weight > 0.001"))
+        # Few partitions: each sends a vector of WIDTH numbers in every iteration.
+        model = regression.fit(train.where("weight > 0.001").coalesce(4))
         scorers[task] = np.asarray(model.coefficients.toArray()), float(model.intercept)
     return scorers
 
