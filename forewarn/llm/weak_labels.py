@@ -34,9 +34,9 @@ from forewarn.llm.common import map_rows, ship, stage_table
 NOTHING, ACCEPT, REJECT = 0, 1, 2
 TASKS = ("quality", "toxicity")
 #: Width of the hashed feature space and documents to fit on.
-WIDTH = 1 << 17
+WIDTH = 1 << 18
 TRAIN_ROWS = 30_000
-ITERATIONS = 25
+ITERATIONS = 40
 REGULARISATION = 0.001
 REMEMBERED = 200_000
 

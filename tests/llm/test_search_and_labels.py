@@ -141,6 +141,22 @@ def test_classifier_on_held_out_labels(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in scored.where("kept").collect()}
 
 
+def test_classifier_catches_held_out_toxic(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = weak_labels.score(docs, weak_labels.fit_scorers(docs, labels.where("doc_id % 2 = 0")))
+    held = scored.drop("quality").join(labels.where("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    toxic = [(r.lang, r.clean < 0.5) for r in held.collect() if r.toxic == 1]
+    assert np.mean([caught for lang, caught in toxic if lang == "en"]) > 0.8
+    assert np.mean([caught for _, caught in toxic]) > 0.4
+
+
+def test_words_rarely_share_a_place():
+    words = [b"word%d" % i for i in range(100_000)]
+    assert len({p for w in words for p in weak_labels.features([], [], [w])}) > 80_000
+
+
 def test_classifier_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "some plain words stand here", "x"), (3, "plain words again stand here", "x")]
     rows += [(4, "$$$ ### %%% &&& " * 20, "x"), (5, "you stupid worthless idiot and moron", "x"), (6, "w " * 60_000, "x")]
