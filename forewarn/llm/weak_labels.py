@@ -7,8 +7,10 @@ one more labeller of each task: it says nothing about most documents, and its ac
 Spark counts how often each combination of votes occurs over all documents; there are at most 3 ** (number of labellers)
 combinations, whatever the size of the corpus. Expectation maximisation on these counts estimates for each labeller how
 it votes on good and on bad documents, and for each combination the chance that the document is good. Those chances
-label at most ``TRAIN_ROWS`` documents for each task, taken by the smallest hashes of their ids from those that have a
-vote, and a logistic regression over hashed words and votes is fitted on them. The scorer decides about every document, by its whole text.
+label at most ``TRAIN_ROWS`` documents for each task, and a logistic regression over hashed words and votes is fitted on
+them. Documents with and without a vote get half of the places each, what one of them leaves goes to the other; they are
+taken by the smallest hashes of their ids and weighted back to how many of each the corpus has, so that few human labels
+don't change the ratio of the classes. The scorer decides about every document, by its whole text.
 
 Null and empty texts, and texts without words, are rejected. Rows without an id are scored like others, but neither
 labelled nor used for fitting. Repeated rows get the same result. Other columns are ignored by the scores and kept by
@@ -18,6 +20,7 @@ the filter.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import pairwise
 from typing import Iterator, Mapping, Sequence
 
@@ -180,20 +183,30 @@ def all_votes(texts: DataFrame, labels: DataFrame | None, key: str = "doc_id", t
     )
 
 
-def label_models(voted: DataFrame) -> dict[str, tuple[LabelModel, DataFrame]]:
-    """For each task its model and the combinations with their chance of being good, as a small table."""
+def label_models(voted: DataFrame) -> dict[str, tuple[LabelModel, DataFrame, dict[bool, int]]]:
+    """For each task its model, the combinations with their chance of being good, as a small table, and how many
+    documents have a vote and how many have none."""
     spark, out = voted.sparkSession, {}
     for task in TASKS:
         rows = voted.groupBy(task).agg(F.count(F.lit(1)).alias("n")).orderBy(task).collect()  # at most 3 ** labellers
         if not rows:
             return {}
         combinations = np.array([r[task] for r in rows], np.int64)
-        model = fit_labels(combinations, np.array([r["n"] for r in rows], float))
+        counts = np.array([r["n"] for r in rows], np.int64)
+        model = fit_labels(combinations, counts.astype(float))
         chances = [(r[task], float(p)) for r, p in zip(rows, model.posterior(combinations))]
-        out[task] = model, spark.createDataFrame(chances, f"{task} array<int>, good_{task} double")
+        spoken = (combinations != NOTHING).any(axis=1)
+        sizes = {True: int(counts[spoken].sum()), False: int(counts[~spoken].sum())}
+        out[task] = model, spark.createDataFrame(chances, f"{task} array<int>, good_{task} double"), sizes
     return out
 
 
+def places_for(sizes: Mapping[bool, int], train_rows: int) -> dict[bool, int]:
+    """Documents with and without a vote to fit on: half each, what one of them leaves goes to the other."""
+    spoken = min(sizes[True], max(train_rows - train_rows // 2, train_rows - sizes[False]))
+    return {True: spoken, False: min(sizes[False], train_rows - spoken)}
+
+
 def fit_scorers(
     texts: DataFrame,
     labels: DataFrame | None,
@@ -215,26 +228,35 @@ def fit_scorers(
 
     vector = F.udf(lambda p: SparseVector(WIDTH, p, [1.0] * len(p)), VectorUDT())
     scorers = {}
-    for task, (_, chances) in models.items():
+    for task, (_, chances, sizes) in models.items():
         rated = voted.join(F.broadcast(chances), task)  # at most 3 ** labellers rows
-        # Documents on which no labeller has a say teach nothing, unless no labeller ever accepts.
-        if not chances.where(F.array_contains(task, ACCEPT)).isEmpty():
-            rated = rated.where(F.exists(task, lambda v: v != NOTHING))
-        chosen = rated.select("doc_id", F.col(f"good_{task}").alias("good"), F.xxhash64("doc_id").alias("turn"))
-        chosen = stage_table(chosen.orderBy("turn", "doc_id").limit(train_rows), "weak-chosen")
-        rows = ids.join(F.broadcast(chosen), "doc_id")  # ``train_rows`` rows of three numbers
-        rows = stage_table(rows.select(places("text").alias("places"), "good"), "weak-train")
+        rated = rated.select(
+            "doc_id",
+            F.col(f"good_{task}").alias("good"),
+            F.xxhash64("doc_id").alias("turn"),
+            F.exists(task, lambda v: v != NOTHING).alias("spoken"),
+        )
+        # Those chosen of each kind stand for all of it.
+        parts = [
+            rated.where(F.col("spoken") == spoken).orderBy("turn", "doc_id").limit(n).withColumn("stands", F.lit(sizes[spoken] / n))
+            for spoken, n in places_for(sizes, train_rows).items()
+            if n
+        ]
+        chosen = stage_table(reduce(DataFrame.unionByName, parts), "weak-chosen")
+        rows = ids.join(F.broadcast(chosen), "doc_id")  # ``train_rows`` rows of a few numbers
+        rows = stage_table(rows.select(places("text").alias("places"), "good", "stands"), "weak-train")
         # A row counts for both classes, as much as it is likely to be of each.
         sides = F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("good").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("weight")),
+            F.struct(F.lit(1.0).alias("label"), F.col("good").alias("chance")),
+            F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("chance")),
         )
-        train = rows.select(vector("places").alias("features"), F.explode(sides).alias("side")).select("features", "side.*")
+        train = rows.select(vector("places").alias("features"), "stands", F.explode(sides).alias("side"))
+        train = train.where("side.chance > 0.001").selectExpr("features", "side.label", "side.chance * stands AS weight")
         regression = LogisticRegression(
             weightCol="weight", maxIter=ITERATIONS, regParam=REGULARISATION, standardization=False
         )
         # Few partitions: each sends a vector of WIDTH numbers in every iteration.
-        model = regression.fit(train.where("weight > 0.001").coalesce(4))
+        model = regression.fit(train.coalesce(4))
         scorers[task] = np.asarray(model.coefficients.toArray()), float(model.intercept)
     return scorers
 

@@ -152,6 +152,27 @@ def test_classifier_catches_held_out_toxic(spark, sf_dir):
     assert np.mean([caught for _, caught in toxic]) > 0.4
 
 
+def test_few_labels_keep_the_ratio_of_classes(spark):
+    """Six labels on 1,200 documents, a third of which have an insult."""
+    draw = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(1200):
+        text = draw.sample(words, 12) + (["idiot", "stupid"] if i % 3 == 0 else [])
+        rows.append((i, " ".join(draw.sample(text, len(text)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in (0, 1, 2, 3, 4, 6)], "doc_id long, quality int, toxic int")
+    for train_rows in (weak_labels.TRAIN_ROWS, 300):
+        scored = weak_labels.score(docs, weak_labels.fit_scorers(docs, labels, train_rows)).collect()
+        assert np.mean([r.clean >= 0.5 for r in scored if r.doc_id % 3]) > 0.95
+        assert np.mean([r.clean < 0.5 for r in scored if r.doc_id % 3 == 0]) > 0.9
+
+
+def test_places_for_documents_with_and_without_a_vote():
+    for spoken, silent, rows, want in ((5, 5, 20, (5, 5)), (50, 50, 20, (10, 10)), (50, 3, 20, (17, 3)), (3, 50, 20, (3, 17)), (0, 9, 4, (0, 4))):
+        assert weak_labels.places_for({True: spoken, False: silent}, rows) == {True: want[0], False: want[1]}
+
+
 def test_words_rarely_share_a_place():
     words = [b"word%d" % i for i in range(100_000)]
     assert len({p for w in words for p in weak_labels.features([], [], [w])}) > 80_000
