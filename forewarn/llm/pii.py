@@ -4,9 +4,9 @@ Four exact forms (email, ip, card, phone) are the seeds. Every seed, and every o
 identifier (at least ``LEAST_DIGITS`` digits, or an ``@``), is an instance; the two words in front of it are its pattern.
 Spark counts which patterns stand before which instances and scores this graph for some rounds: the confidence of a
 pattern for a kind is the score of its distinct instances over their number (plus ``SMOOTHING``), and an unseen
-instance gets the chance that at least one of its patterns is right. Patterns that are confident, stand before enough
-different seeds and before at least ``SHARE`` of all seeds of the kind are kept: so there are at most ``1 / SHARE`` of
-them for each kind, whatever the size of the corpus. Tokens behind a kept pattern are spans of its kind.
+instance gets the chance that at least one of its patterns is right. Patterns that are confident and stand before enough
+different seeds are kept, as a table: their number grows with the corpus. Tokens behind a kept pattern are spans of its
+kind; the tokens are joined to the table by pattern, and what is found to the texts by the texts' digests.
 
 Spans are in code points, end exclusive; base spans of different kinds may overlap each other, found ones overlap
 nothing. Nulls are read as empty texts. Texts of any length are read whole, in time proportional to their length.
@@ -16,14 +16,15 @@ Repeated rows give repeated results and don't count as further evidence, as only
 from __future__ import annotations
 
 import re
-from typing import Iterator, Mapping
+from typing import Callable, Iterator, Mapping
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forewarn.llm.common import map_rows, ship, stage_table
+from forewarn.llm.prefilter import split
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS = 4
@@ -31,9 +32,10 @@ ROUNDS = 3
 SMOOTHING = 1.0
 LEAST_CONFIDENCE = 0.6
 LEAST_SEEDS = 5
-SHARE = 0.001
 #: A pattern is looked for in so many characters.
 REACH = 80
+#: Parts into which the tokens behind one pattern are dealt.
+SALTS = 32
 
 Span = tuple[int, int, int]  # start, kind (place in KINDS), end
 
@@ -182,57 +184,131 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns.select("pattern", unfolded.alias("x")).select("pattern", "x.*")
 
 
-def learn_patterns(
+def pattern_table(
     texts: DataFrame,
     text: str = "text",
     least_confidence: float = LEAST_CONFIDENCE,
     least_seeds: int = LEAST_SEEDS,
-    share: float = SHARE,
-) -> dict[str, int]:
-    """Patterns to apply with their kinds; at most ``1 / share`` for each kind."""
-    edges = stage_table(occurrences(texts, text), "pii-edges")
+) -> DataFrame:
+    """Patterns to apply with their kinds, as a table written to the shared folder: (pattern, kind)."""
     if not 0.5 < least_confidence <= 1:
         raise ValueError("a pattern may be confident of one kind only")
-    total = edges.where(F.col("kind") >= 0).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    scored = score_patterns(edges).where(
+    edges = stage_table(occurrences(texts, text), "pii-edges")
+    kept = score_patterns(edges).where(
         (F.col("confidence") >= least_confidence) & (F.col("seeds") >= least_seeds) & (F.col("pattern") != "")
     )
-    kept = scored.join(F.broadcast(total), "kind").where(F.col("seeds") >= F.col("total") * share)  # one row per kind
-    return {row["pattern"]: row["kind"] for row in kept.select("pattern", "kind").collect()}
+    return stage_table(kept.select("pattern", "kind"), "pii-kept")
+
+
+def learn_patterns(
+    texts: DataFrame,
+    text: str = "text",
+    least_confidence: float = LEAST_CONFIDENCE,
+    least_seeds: int = LEAST_SEEDS,
+) -> dict[str, int]:
+    """``pattern_table`` on the driver, for corpora known to have few patterns."""
+    kept = pattern_table(texts, text, least_confidence, least_seeds)
+    return {row["pattern"]: row["kind"] for row in kept.collect()}
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(F.encode(F.col(f"`{text}`"), "UTF-8"), 256)
 
 
-def extract(texts: DataFrame, patterns: Mapping[str, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: its key, counts of base spans, ``base`` and ``spans`` as kind:start:end, comma-joined."""
+def found_spans(texts: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """Spans that a table of patterns finds, for each distinct text that has any: (digest, found as [start, kind, end])."""
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
-        for name, content in incoming:
+        for digest, content in incoming:
+            for start, end in candidates(content, base_spans(content)):
+                before = pattern_before(content, start)
+                if before:
+                    yield digest, start, end, before
+
+    named = texts.select(_digest(text).alias("digest"), F.col(f"`{text}`").alias("text")).where("text RLIKE '[0-9@]'")
+    tokens = map_rows(named, rows, "digest string, start int, end int, pattern string").distinct()
+    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("digest", "start"), F.lit(SALTS)))
+    salted = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = tokens.join(salted, ["pattern", "salt"])
+    return hits.groupBy("digest").agg(F.collect_list(F.array("start", "kind", "end")).alias("found"))
+
+
+def _with_found(texts: DataFrame, patterns: DataFrame, text: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` on the rows with a column ``_found``: what the patterns find in the text, null for nothing."""
+    nothing = F.lit(None).cast("array<array<int>>")
+    if patterns.isEmpty():
+        return use(texts.withColumn("_found", nothing))
+    found = stage_table(found_spans(texts, patterns, text), "pii-found").withColumnRenamed("digest", "_digest")
+    # Only texts in which something may be found are moved.
+    some, others = split(texts.withColumn("_digest", _digest(text)), "_digest", found.select("_digest"))
+    joined_ = some.join(found.withColumnRenamed("found", "_found"), "_digest", "left").drop("_digest")
+    return use(joined_.unionByName(others.drop("_digest").withColumn("_found", nothing)))
+
+
+def _merged(base: list[Span], found: list | None) -> list[Span]:
+    return base if found is None else sorted(base + [tuple(span) for span in found])
+
+
+def extract(
+    texts: DataFrame, patterns: DataFrame | Mapping[str, int], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row per text: its key, counts of base spans, ``base`` and ``spans`` as kind:start:end, comma-joined.
+
+    ``patterns`` is a table (pattern, kind), or a mapping that every worker can hold.
+    """
+    held = None if isinstance(patterns, DataFrame) else dict(patterns)
+
+    def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
+        for name, content, found in incoming:
             content = content or ""
             base = base_spans(content)
             counts = [sum(kind == k for _, kind, _ in base) for k in range(len(KINDS))]
-            yield (name, *counts, joined(base), joined(all_spans(content, patterns)))
+            spans = _merged(base, found) if held is None else all_spans(content, held)
+            yield (name, *counts, joined(base), joined(spans))
 
     kind = dict(texts.dtypes)[key]
     numbers = ", ".join(f"n_{k} long" for k in KINDS)
-    return map_rows(texts.select(key, text), rows, f"`{key}` {kind}, {numbers}, base string, spans string")
+    schema = f"`{key}` {kind}, {numbers}, base string, spans string"
+    use = lambda rows_: map_rows(rows_.select(key, text, "_found"), rows, schema)
+    texts = texts.select(key, text)
+    if held is None:
+        return _with_found(texts, patterns, text, use)
+    return use(texts.withColumn("_found", F.lit(None).cast("array<array<int>>")))
 
 
-def redact_text(text: str, patterns: Mapping[str, int]) -> str:
-    """The text with each span, overlapping ones as one, replaced by its kind in brackets."""
+def _redacted(text: str, spans: list[Span]) -> str:
     parts, done = [], 0
-    for start, kind, end in all_spans(text, patterns):
+    for start, kind, end in spans:
         if start >= done:
             parts += [text[done:start], f"[{KINDS[kind].upper()}]"]
         done = max(done, end)
     return "".join([*parts, text[done:]])
 
 
-def redact(texts: DataFrame, patterns: Mapping[str, int], text: str = "text") -> DataFrame:
-    """The table with personal data in its text replaced; nulls stay null, other columns as they are."""
+def redact_text(text: str, patterns: Mapping[str, int]) -> str:
+    """The text with each span, overlapping ones as one, replaced by its kind in brackets."""
+    return _redacted(text, all_spans(text, patterns))
+
+
+def redact(texts: DataFrame, patterns: DataFrame | Mapping[str, int], text: str = "text") -> DataFrame:
+    """The table with personal data in its text replaced; nulls stay null, other columns as they are.
+
+    ``patterns`` is a table (pattern, kind), or a mapping that every worker can hold.
+    """
     ship(texts.sparkSession)
-    found = dict(patterns)
+    if not isinstance(patterns, DataFrame):
+        held = dict(patterns)
+
+        @F.pandas_udf("string")
+        def clean(column: pd.Series) -> pd.Series:
+            return column.map(lambda t: redact_text(t, held), na_action="ignore")
+
+        return texts.withColumn(text, clean(F.col(text)))
 
     @F.pandas_udf("string")
-    def clean(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: redact_text(t, found), na_action="ignore")
+    def merged(column: pd.Series, found: pd.Series) -> pd.Series:
+        pairs = zip(column, found)
+        return pd.Series([None if t is None else _redacted(t, _merged(base_spans(t), f)) for t, f in pairs], dtype=object)
 
-    return texts.withColumn(text, clean(F.col(text)))
+    use = lambda rows: rows.withColumn(text, merged(F.col(text), F.col("_found"))).drop("_found")
+    return _with_found(texts, patterns, text, use).select(*[F.col(f"`{c}`") for c in texts.columns])

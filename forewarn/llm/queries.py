@@ -49,7 +49,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = pii.extract(docs, pii.learn_patterns(docs))
+    found = pii.extract(docs, pii.pattern_table(docs))
     return found.select(
         "doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans"
     )

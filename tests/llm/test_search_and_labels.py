@@ -94,6 +94,24 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.learn_patterns(docs.limit(0)) == {} and pii.extract(docs.limit(0), {}).count() == 0
 
 
+def test_rare_patterns_are_kept_and_joined(spark):
+    rows = [(i, f"mail to user{i}@example.org today", "x") for i in range(7000)]
+    rows += [(10_000 + i, f"reach desk{i}@example.org or not", "x") for i in range(6)]  # 6 of 7,006 seeds
+    rows += [(20_000, "reach 777123 now, a@b.co too", "x"), (20_000, "reach 777123 now, a@b.co too", "y")]
+    rows += [(None, "reach 777123 now, a@b.co too", "z"), (20_001, None, "x"), (20_002, "", "x"), (20_003, "no 12345", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    table = pii.pattern_table(docs)
+    patterns = {r.pattern: r.kind for r in table.collect()}
+    assert patterns == {"mail to": 0, "reach": 0} == pii.learn_patterns(docs)
+    for build in (pii.extract, pii.redact):
+        got, want = build(docs, table), build(docs, patterns)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    clean = [r.text for r in pii.redact(docs, table).where("doc_id = 20000 OR doc_id IS NULL").collect()]
+    assert clean == ["reach [EMAIL] now, [EMAIL] too"] * 3
+    assert pii.extract(docs, table.limit(0)).where("spans <> base").isEmpty()
+
+
 def test_personal_data_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = QUERIES["op4_personal_data"](spark, sf_dir).collect()
