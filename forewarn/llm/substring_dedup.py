@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import ship
+from forewarn.llm.common import sealed, ship, unsealed
 from forewarn.llm.gear import rolling
 
 WINDOW = 16
@@ -158,10 +158,14 @@ def removed_spans(text: str, found: list, least_words: int = LEAST_WORDS) -> lis
     cut = chunks(data)
     own = digests(data, cut)
     # Places of another text with the same id don't hold here.
-    here = [f for f in found if f["place"] < len(own) and own[f["place"]] == f["digest"]]
-    sources = [(f["source_id"], f["source_place"]) for f in here]
+    here: dict[int, tuple[int, int]] = {}
+    for f in found:
+        place, source = f["place"], (f["source_id"], f["source_place"])
+        if place < len(own) and own[place] == f["digest"]:
+            # Repeated rows may name several sources of one chunk; it counts once.
+            here[place] = min(source, here.get(place, source))
     spans: list[tuple[int, int]] = []
-    for first, last in passages(cut[2], [f["place"] for f in here], sources, least_words):
+    for first, last in passages(cut[2], list(here), list(here.values()), least_words):
         start = int(cut[0][first])
         end = int(cut[0][last + 1]) if last + 1 < len(own) else len(data)
         if spans and start <= spans[-1][1]:
@@ -180,8 +184,9 @@ def without_passages(
     """
     found = repeated_chunks(texts, key, text)
     entry = F.struct("place", "digest", "source_id", "source_place")
-    by_doc = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(entry).alias("_found"))
-    joined = texts.join(by_doc, F.col(key).cast("long") == F.col("_of"), "left")
+    by_doc = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(entry).alias("_found"))
+    rows = sealed(texts, text).withColumn("_id", F.col(f"row.c{texts.columns.index(key)}").cast("long"))
+    joined = rows.join(by_doc, F.col("_id") == F.col("_of"), "left")
 
     @F.pandas_udf("struct<text: string, removed: string>")
     def clean(column: pd.Series, founds: pd.Series) -> pd.DataFrame:
@@ -204,10 +209,11 @@ def without_passages(
             out.append((b"".join(parts).decode(), ",".join(marks)))
         return pd.DataFrame(out, columns=["text", "removed"])
 
-    cleaned = F.when(F.col("_found").isNotNull(), clean(F.col(text), F.col("_found"))).alias("_clean")
-    kept = joined.select(*[joined[c] for c in texts.columns], cleaned)
-    value = F.when(F.col("_clean").isNull(), F.col(text)).otherwise(F.col("_clean.text"))
-    columns = [value.alias(text) if c == text else F.col(f"`{c}`") for c in texts.columns]
+    cleaned = F.when(F.col("_found").isNotNull(), clean(F.col("text"), F.col("_found"))).alias("_clean")
+    value = F.when(F.col("_clean").isNull(), F.col("text")).otherwise(F.col("_clean.text")).alias("text")
+    gone = F.coalesce(F.col("_clean.removed"), F.lit("")).alias("removed")
+    kept = joined.select("row", "text", cleaned).select("row", value, gone)
+    columns = unsealed(texts.columns, text)
     if removed:
-        columns.append(F.coalesce(F.col("_clean.removed"), F.lit("")).alias(removed))
+        columns.append(F.col("removed").alias(removed))
     return kept.select(*columns)
