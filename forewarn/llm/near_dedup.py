@@ -109,7 +109,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(texts: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, packed bits and band keys of each text."""
+    """The key, n_shingles, digest of the set, packed bits and band keys of each text."""
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
         for name, content in incoming:
@@ -121,23 +121,32 @@ def signatures(texts: DataFrame, shingle: int, key: str, text: str) -> DataFrame
             digest = xxhash.xxh3_128_digest(shingles.tobytes())
             yield name, len(shingles), digest, packed_bits(least), band_keys(least)
 
-    schema = "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>"
-    return map_rows(texts.select(F.col(key).cast("long"), text), rows, schema)
+    schema = f"{key} long, n_shingles long, digest binary, bits array<long>, bands array<long>"
+    return map_rows(texts.select(key, text), rows, schema)
 
 
 def near_duplicate_groups(
     texts: DataFrame, shingle: int = SHINGLE, percent: int = THRESHOLD, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row per text: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept."""
-    signed = stage_table(signatures(texts, shingle, key, text), "near-signatures")
-    known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # Every row gets a number: ids can be repeated, with the same text or with others. Rows without an id, which are
+    # linked with nothing, get a negative one.
+    given = texts.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    number = F.monotonically_increasing_id()
+    given = given.withColumn("row", number).withColumn("row", F.expr("CASE WHEN id IS NULL THEN -1 - row ELSE row END"))
+    given = stage_table(given, "near-texts")
+    ids = given.select("row", "id")
+    signed = stage_table(signatures(given, shingle, "row", "text"), "near-signatures")
+    known = signed.where("n_shingles > 0 AND row >= 0")
+    classes = known.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = stage_table(classes.where("n > 1").select("digest", "rep"), "near-classes")
     named = known.join(classes, "digest", "left")
-    alone = F.col("rep").isNull() | (F.col("rep") == F.col("doc_id"))
-    nodes = stage_table(named.where(alone).select("doc_id", "n_shingles", "bits", "bands"), "near-nodes")
+    # One node for each distinct set, whatever rows have it; inside, its row's number is its id.
+    alone = F.col("rep").isNull() | (F.col("rep") == F.col("row"))
+    nodes = named.where(alone).select(F.col("row").alias("doc_id"), "n_shingles", "bits", "bands")
+    nodes = stage_table(nodes, "near-nodes")
 
-    content = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    content = given.select(F.col("row").alias("doc_id"), "text")
     members = nodes.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"))
     buckets = stage_table(buckets.where("hub < top").select("bucket", "hub"), "near-buckets")
@@ -148,17 +157,23 @@ def near_duplicate_groups(
     more = _rest_links(nodes, members, buckets, first, content, shingle, percent, least)
     if more is not None:
         links = links.unionByName(more)
-    copies = named.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    components = connected_components(links.unionByName(copies))
-    found = signed.select("doc_id", "n_shingles").join(
-        components.withColumnRenamed("node", "doc_id"), "doc_id", "left"
-    )
-    component = F.coalesce("component", "doc_id")
+    copies = named.where("rep <> row").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    spoken = known.select("row").join(ids, "row")
+    firsts = spoken.groupBy("id").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a < z").select("id", "a")
+    same_id = spoken.join(stage_table(firsts, "near-repeated-ids"), "id").where("row <> a")
+    same_id = same_id.select("a", F.col("row").alias("b"))
+    components = stage_table(connected_components(links.unionByName(copies).unionByName(same_id)), "near-groups")
+    # Groups of rows become groups of ids: each is named by its least one.
+    placed = components.join(ids, components["node"] == ids["row"]).select("row", "component", "id")
+    least_ids = placed.groupBy("component").agg(F.min("id").alias("least"))
+    grouped = placed.join(least_ids, "component").select("row", "least")
+    found = ids.join(signed.select("row", "n_shingles"), "row").join(grouped, "row", "left")
+    component = F.coalesce("least", "id")
     return found.select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         "n_shingles",
         component.alias("component_id"),
-        (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"),
+        (F.col("id").isNull() | (component == F.col("id"))).alias("kept"),
     )
 
 
