@@ -7,14 +7,52 @@ from pathlib import Path
 from typing import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from forewarn.sources.sinks import stage_table
 
-__all__ = ["documents", "embeddings", "map_rows", "ship", "stage_table", "table"]
+__all__ = ["documents", "embeddings", "forget_after", "map_rows", "sealed", "ship", "stage_table", "table", "unsealed"]
 
-# Rows of one Arrow batch handed back to Spark.
+# Rows of one Arrow batch handed back to Spark, and bytes of an incoming one turned into Python values at a time.
 OUT_ROWS = 2000
+IN_BYTES = 4 << 20
+
+# What empties the caches of a Python worker; workers live on for other stages.
+_CACHES: list[Callable[[], object]] = []
+
+
+def forget_after(clear: Callable[[], object]) -> None:
+    """Have a module's cache emptied at the end of each partition."""
+    _CACHES.append(clear)
+
+
+def forget() -> None:
+    for clear in _CACHES:
+        clear()
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def sealed(df: DataFrame, text: str) -> DataFrame:
+    """``row``, a struct of all columns but the text, and ``text``: no name of the caller's meets a helper's name."""
+    others = [named(c).alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    return df.select(F.struct(*others, F.lit(0).alias("none")).alias("row"), named(text).alias("text"))
+
+
+def unsealed(columns: Sequence[str], text: str) -> list[Column]:
+    """The columns that ``sealed`` put away, in their order and under their names."""
+    return [(F.col("text") if c == text else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``IN_BYTES`` (or one row)."""
+    size = max(1, int(batch.num_rows * IN_BYTES / max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, size):
+        yield batch.slice(start, size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +82,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[Sequence]
     """Apply a generator of rows to each partition, by Arrow batches.
 
     ``rows`` gets an iterator over the partition's rows as tuples and yields output rows in the
-    order of ``schema``. Memory is bounded by one input and one output batch.
+    order of ``schema``. Memory is bounded by one input and one output batch, of which a slice is in Python values.
     """
     spark = df.sparkSession
     ship(spark)
@@ -56,8 +94,8 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[Sequence]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def incoming() -> Iterator[tuple]:
             for batch in batches:
-                if batch.num_rows:
-                    yield from zip(*[column.to_pylist() for column in batch.columns])
+                for part in slices(batch):
+                    yield from zip(*[column.to_pylist() for column in part.columns])
 
         waiting: list[Sequence] = []
         for row in rows(incoming()):
@@ -67,6 +105,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[Sequence]
                 waiting = []
         if waiting:
             yield _batch(waiting, arrow)
+        forget()
 
     return df.mapInArrow(run, schema)
 

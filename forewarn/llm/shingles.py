@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from forewarn.llm.common import forget_after
+
 REMEMBERED = 200_000
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -20,6 +22,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+forget_after(_HASHES.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:

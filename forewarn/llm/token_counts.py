@@ -91,6 +91,8 @@ class TokenCounter:
         key = "\n" + word
         n = self._known.get(key)
         if n is None:
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
             n = self._known[key] = len(self._model.encode(key)) - 2
         return n
 

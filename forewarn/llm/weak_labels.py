@@ -26,13 +26,14 @@ from typing import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import map_rows, ship, stage_table
+from forewarn.llm.common import forget, forget_after, map_rows, ship, slices, stage_table
 
 NOTHING, ACCEPT, REJECT = 0, 1, 2
 TASKS = ("quality", "toxicity")
@@ -98,6 +99,7 @@ class _Places(dict):
 
 
 _PLACES = _Places()
+forget_after(_PLACES.clear)
 
 
 def features(quality: Sequence[int], toxicity: Sequence[int], words: list[bytes]) -> list[int]:
@@ -156,18 +158,22 @@ def fit_labels(combinations: np.ndarray, counts: np.ndarray, rounds: int = 100,
     return model
 
 
-_VOTES = "doc_id long, quality array<int>, toxicity array<int>"
+_VOTES = "doc_id long, hash long, quality array<int>, toxicity array<int>"
+
+
+def _identified(texts: DataFrame, key: str, text: str) -> DataFrame:
+    return texts.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
 
 def all_votes(texts: DataFrame, labels: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Votes of all labellers for rows with an id; ``labels`` (doc_id, quality, toxic) adds one to each task."""
 
     def rows(incoming: Iterator[tuple]) -> Iterator[tuple]:
-        for name, content in incoming:
+        for name, digest, content in incoming:
             quality, toxicity, _ = votes(content)
-            yield name, quality, toxicity
+            yield name, digest, quality, toxicity
 
-    ids = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ids = _identified(texts, key, text).where("doc_id IS NOT NULL")
     voted = stage_table(map_rows(ids, rows, _VOTES), "weak-votes")
     if labels is None:
         return voted
@@ -178,6 +184,7 @@ def all_votes(texts: DataFrame, labels: DataFrame | None, key: str = "doc_id", t
     joined = voted.join(human, "doc_id", "left")
     return joined.select(
         "doc_id",
+        "hash",
         F.concat("quality", F.array(vote("q", True))).alias("quality"),
         F.concat("toxicity", F.array(vote("t", False))).alias("toxicity"),
     )
@@ -220,7 +227,7 @@ def fit_scorers(
     models = label_models(voted)
     if not models:
         return {task: (np.zeros(WIDTH), 0.0) for task in TASKS}
-    ids = texts.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    ids = _identified(texts, key, text)
 
     @F.pandas_udf("array<int>")
     def places(column: pd.Series) -> pd.Series:
@@ -229,21 +236,29 @@ def fit_scorers(
     vector = F.udf(lambda p: SparseVector(WIDTH, p, [1.0] * len(p)), VectorUDT())
     scorers = {}
     for task, (_, chances, sizes) in models.items():
-        rated = voted.join(F.broadcast(chances), task)  # at most 3 ** labellers rows
+        # Repeated rows are one example that weighs as many times more.
+        distinct = voted.groupBy("doc_id", "hash", task).agg(F.count(F.lit(1)).alias("n"))
+        rated = distinct.join(F.broadcast(chances), task)  # at most 3 ** labellers rows
         rated = rated.select(
             "doc_id",
+            "hash",
+            "n",
             F.col(f"good_{task}").alias("good"),
             F.xxhash64("doc_id").alias("turn"),
             F.exists(task, lambda v: v != NOTHING).alias("spoken"),
         )
         # Those chosen of each kind stand for all of it.
         parts = [
-            rated.where(F.col("spoken") == spoken).orderBy("turn", "doc_id").limit(n).withColumn("stands", F.lit(sizes[spoken] / n))
+            rated.where(F.col("spoken") == spoken).orderBy("turn", "doc_id", "hash").limit(n)
             for spoken, n in places_for(sizes, train_rows).items()
             if n
         ]
         chosen = stage_table(reduce(DataFrame.unionByName, parts), "weak-chosen")
-        rows = ids.join(F.broadcast(chosen), "doc_id")  # ``train_rows`` rows of a few numbers
+        held = {r["spoken"]: r["n"] for r in chosen.groupBy("spoken").agg(F.sum("n").alias("n")).collect()}
+        stands = F.col("n") * F.when(F.col("spoken"), sizes[True] / held.get(True, 1)).otherwise(sizes[False] / held.get(False, 1))
+        chosen = chosen.select("doc_id", "hash", "good", stands.alias("stands"))
+        rows = ids.join(F.broadcast(chosen), ["doc_id", "hash"])  # ``train_rows`` rows of a few numbers
+        rows = rows.groupBy("doc_id", "hash").agg(*[F.first(c).alias(c) for c in ("text", "good", "stands")])
         rows = stage_table(rows.select(places("text").alias("places"), "good", "stands"), "weak-train")
         # A row counts for both classes, as much as it is likely to be of each.
         sides = F.array(
@@ -288,8 +303,14 @@ def keep_good(texts: DataFrame, scorers: Mapping[str, tuple[np.ndarray, float]],
     ship(texts.sparkSession)
     held = texts.sparkSession.sparkContext.broadcast(dict(scorers))
 
-    @F.pandas_udf("boolean")
-    def kept(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: min(_score(held.value, t)) >= 0.5).astype(bool)
+    place = texts.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                good = [min(_score(held.value, content)) >= 0.5 for content in part.column(place).to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_()))
+        forget()
 
-    return texts.where(kept(F.col(text)))
+    plain = texts.toDF(*[f"c{i}" for i in range(len(texts.columns))])  # Spark's batches need plain names
+    return plain.mapInArrow(kept, plain.schema).toDF(*texts.columns)
