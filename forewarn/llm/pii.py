@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import map_rows, ship, stage_table
+from forewarn.llm.common import map_rows, sealed, ship, stage_table, unsealed
 from forewarn.llm.prefilter import split
 
 KINDS = ("email", "ip", "card", "phone")
@@ -310,5 +310,5 @@ def redact(texts: DataFrame, patterns: DataFrame | Mapping[str, int], text: str
         pairs = zip(column, found)
         return pd.Series([None if t is None else _redacted(t, _merged(base_spans(t), f)) for t, f in pairs], dtype=object)
 
-    use = lambda rows: rows.withColumn(text, merged(F.col(text), F.col("_found"))).drop("_found")
-    return _with_found(texts, patterns, text, use).select(*[F.col(f"`{c}`") for c in texts.columns])
+    use = lambda rows: rows.withColumn("text", merged(F.col("text"), F.col("_found"))).drop("_found")
+    return _with_found(sealed(texts, text), patterns, "text", use).select(*unsealed(texts.columns, text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import stage_table
+from forewarn.llm.common import named, stage_table
 
 #: Bits of the bitmap; 4 MB, whatever the number of keys.
 BITS = 1 << 25
@@ -36,7 +36,9 @@ def split(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFr
     bit = _bit(F.col(key))
     byte = F.conv(F.hex(F.expr("substring(_bitmap, CAST(_at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_at % 8 AS INT))")) != 0
-    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)})
+    # The rows' own columns go through in a struct, so they can have any names.
+    held = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rows.columns)]).alias("row")
+    placed = rows.select(held, F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_at"))
     joined = placed.join(bitmap, "_bucket", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    columns = [F.col(f"`{c}`") for c in rows.columns]
+    columns = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(rows.columns)]
     return joined.where("_hit").select(*columns), joined.where("NOT _hit").select(*columns)
