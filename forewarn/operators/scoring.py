@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
+from forewarn.operators.boosting import BoostedModel, BoostParameters, Fit, fit_boosted, probabilities
 from forewarn.operators.splits import class_weights
 from forewarn.sources.sinks import stage_table
 
@@ -172,23 +173,100 @@ def run_cells(cells: Mapping[tuple, Callable[[], CellResult]], at_once: int = 4)
         return {cell: future.result() for cell, future in running.items()}
 
 
+_COSTS = (
+    "model string, horizon_hours int, seed int, development_fit_seconds double, final_fit_seconds double, "
+    "prediction_seconds double"
+)
+
+
 def cell_costs(spark: SparkSession, results: Mapping[tuple, CellResult]) -> DataFrame:
     """Measured seconds of each (model, horizon_hours, seed); one row per cell."""
     rows = [
         (*cell, r.development_fit_seconds, r.final_fit_seconds, r.prediction_seconds) for cell, r in results.items()
     ]
-    return spark.createDataFrame(
-        rows,
-        "model string, horizon_hours int, seed int, development_fit_seconds double, final_fit_seconds double, "
-        "prediction_seconds double",
+    return spark.createDataFrame(rows, _COSTS)
+
+
+@dataclass(frozen=True)
+class GridResult:
+    """Stored predictions of all cells, each cell's seconds, its final model and the rounds that its folds used."""
+
+    trace: DataFrame
+    costs: DataFrame
+    models: dict[tuple[int, int], BoostedModel]
+    rounds: dict[tuple[int, int], tuple[int, ...]]
+
+
+def run_boosted_cells(
+    folds: DataFrame,
+    split: DataFrame,
+    horizons: Sequence[int],
+    seeds: Sequence[int],
+    parameters: BoostParameters = BoostParameters(),
+    model: str = "boosted_trees",
+) -> GridResult:
+    """All (horizon, seed) cells of boosted trees, fitted together: a pass over the rows serves every cell.
+
+    ``folds`` and ``split`` hold rows with ``features`` and ``hours_to_next_failure``. A fold's validation rows may
+    stop its fits; a final fit takes the median of the rounds that its folds used, and the holdout takes no part in
+    any. Cells share passes, so the seconds of a cell are its share of them.
+    """
+    cells = [(horizon, seed) for horizon in horizons for seed in seeds]
+    names = sorted(row["fold"] for row in folds.select("fold").distinct().collect())
+    hours = F.col("hours_to_next_failure")
+    labels = F.array(*[F.coalesce(hours <= h, F.lit(False)).cast("double") for h in horizons]).alias("labels")
+
+    def rows(df: DataFrame, part, validation) -> DataFrame:
+        return df.select(part.alias("part"), "features", labels, F.xxhash64("window_id").alias("key"), validation.alias("is_validation"))
+
+    started = time.perf_counter()
+    wanted = [Fit(name, horizons.index(h), seed) for name in names for h, seed in cells]
+    developed = fit_boosted(rows(folds, F.col("fold"), F.col("role") == "validation"), wanted, parameters)
+    fitted = {(fit.part, horizons[fit.target], fit.seed): found for fit, found in zip(wanted, developed)}
+    rounds = {cell: tuple(len(fitted[name, *cell].trees) for name in names) for cell in cells}
+    development = time.perf_counter()
+    train = rows(split.where(F.col("split") == "train"), F.lit("final"), F.lit(False))
+    last = [Fit("final", horizons.index(h), seed, max(1, int(median(rounds[h, seed])))) for h, seed in cells]
+    final = dict(zip(cells, fit_boosted(train, last, parameters)))
+    finished = time.perf_counter()
+    parts = [
+        _grid_trace(folds.where((F.col("fold") == name) & (F.col("role") == "validation")), {c: fitted[name, *c] for c in cells}, name, model)
+        for name in names
+    ]
+    parts.append(_grid_trace(split.where(F.col("split") == "test"), final, None, model))
+    trace = stage_table(reduce(DataFrame.unionByName, parts), "trace")
+    seconds = [development - started, finished - development, time.perf_counter() - finished]
+    costs = folds.sparkSession.createDataFrame(
+        [(model, *cell, *[s / len(cells) for s in seconds]) for cell in cells], _COSTS
+    )
+    return GridResult(trace, costs, final, rounds)
+
+
+def _grid_trace(rows: DataFrame, models: Mapping[tuple[int, int], BoostedModel], fold: str | None, model: str) -> DataFrame:
+    """Each row scored by every cell's model, in trace form."""
+    cells = list(models)
+    keys = F.array(*[F.struct(F.lit(h).alias("horizon_hours"), F.lit(s).alias("seed")) for h, s in cells])
+    scored = rows.withColumn("_scores", F.arrays_zip(keys.alias("cell"), probabilities(rows, [models[c] for c in cells]).alias("score")))
+    hours = F.col("hours_to_next_failure")
+    return scored.withColumn("_score", F.explode("_scores")).select(
+        F.lit(model).alias("model"),
+        "_score.cell.horizon_hours",
+        "_score.cell.seed",
+        F.lit(fold).cast("string").alias("fold"),
+        *[c for c in TRACE if c not in ("true_label", "probability", "hours_to_next_failure")],
+        F.coalesce(hours <= F.col("_score.cell.horizon_hours"), F.lit(False)).cast("int").alias("true_label"),
+        F.col("_score.score").alias("probability"),
+        "hours_to_next_failure",
     )
 
 
 def feature_importance(spark: SparkSession, model, columns: Sequence[str]) -> DataFrame:
     """Importance per feature of a fitted tree model, highest first, then by name.
 
-    The list is as long as the feature set.
+    Boosted trees on histograms give the average gain of their splits, MLlib's their own measure. The list is as long
+    as the feature set.
     """
-    weights = model.featureImportances.toArray().tolist()
+    found = model.importances() if isinstance(model, BoostedModel) else model.featureImportances.toArray()
+    weights = found.tolist()
     rows = [(name, float(w)) for name, w in zip(columns, weights)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
