@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forewarn.functions.ordered import join_summary
-from forewarn.functions.timeline import HOUR, SECOND, floor_div, hours_between, micros, naive
+from forewarn.functions.slices import slice_borders, slice_number
+from forewarn.functions.timeline import HOUR, hours_between, micros, naive
 from forewarn.spec import require_columns
 
 # Up to this many intervals are compared one by one inside the scan; a longer list
 # becomes a table and goes through label_windows_from_table, with the same result.
 LITERAL_FAILURES = 64
+# Windows and failures that one task orders at a time.
+ROWS_PER_SLICE = 500_000
 
 
 def _one_of(columns: list[Column], combine) -> Column:
@@ -51,21 +54,24 @@ def label_windows_from_table(
     windows: DataFrame,
     failures: DataFrame,
     asset_cols: Sequence[str] = (),
-    chunk_seconds: int = 7 * 86400,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """The same two columns from a failure table of any size, per asset.
 
-    Windows (at their end) and failures (at their start) are merged into one
-    ordered stream per (asset, time slice). The latest failure end seen before a
-    window tells whether one is active; the next failure start after it gives
-    the as-of match. One summary row per slice carries both across slices, so
-    windows are never paired with failures.
+    Windows (at their end) and failures (at their start) are merged into one ordered stream per (asset, time slice).
+    Slices are cut at quantiles of the merged times, so a minute that holds most events is many slices and a quiet
+    year is one. The latest failure end seen before a window tells whether one is active; the next failure start after
+    it gives the as-of match. One summary row per slice carries both across slices, so windows are never paired with
+    failures.
+
+    Failures of an asset that start together count as the one that ends last. Windows need nothing of each other:
+    where more of them than a slice should hold end at one instant, they are dealt to parts that each get the slice's
+    failures. A failure without a start matches nothing.
     """
     keys = list(asset_cols)
     require_columns(windows.columns, [*keys, "window_start", "window_end"], "windows")
     require_columns(failures.columns, [*keys, "failure_start", "failure_end"], "failures")
     names = [name for name in windows.columns if name not in keys]
-    slice_of = floor_div(F.col("_t"), chunk_seconds * SECOND)
     left = windows.select(
         *keys,
         F.struct(*names).alias("_window"),
@@ -74,41 +80,58 @@ def label_windows_from_table(
         F.lit(None).cast("long").alias("_start"),
         F.lit(None).cast("long").alias("_stop"),
     )
-    right = failures.select(
+    together = (
+        failures.where(F.col("failure_start").isNotNull())
+        .groupBy(*keys, micros("failure_start").alias("_start"))
+        .agg(F.max(micros("failure_end")).alias("_stop"))
+    )
+    right = together.select(
         *keys,
         F.lit(None).cast(left.schema["_window"].dataType).alias("_window"),
-        micros("failure_start").alias("_t"),
+        F.col("_start").alias("_t"),
         F.lit(1).alias("_kind"),
-        micros("failure_start").alias("_start"),
-        micros("failure_end").alias("_stop"),
+        "_start",
+        "_stop",
     )
-    merged = left.unionByName(right).withColumn("_slice", slice_of)
+    merged = left.unionByName(right)
+    times = left.select("_t").unionByName(right.select("_t"))
+    borders = slice_borders(times, "_t", rows_per_slice)
+    merged = merged.withColumn("_slice", slice_number(F.col("_t"), borders))
 
-    inside = Window.partitionBy(*keys, "_slice")
-    earlier = inside.orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    later = inside.orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     across = Window.partitionBy(*keys).orderBy("_slice")
     slices = (
-        left.select(*keys, "_t", "_start", "_stop")
-        .unionByName(right.select(*keys, "_t", "_start", "_stop"))
-        .withColumn("_slice", slice_of)
+        left.select(*keys, "_t", "_kind", "_start", "_stop")
+        .unionByName(right.select(*keys, "_t", "_kind", "_start", "_stop"))
+        .withColumn("_slice", slice_number(F.col("_t"), borders))
         .groupBy(*keys, "_slice")
-        .agg(F.max("_stop").alias("_slice_stop"), F.min("_start").alias("_slice_start"))
+        .agg(
+            F.max("_stop").alias("_slice_stop"),
+            F.min("_start").alias("_slice_start"),
+            F.greatest(F.lit(1), F.ceil(F.count_if(F.col("_kind") == 0) / F.lit(2 * rows_per_slice))).alias("_parts"),
+        )
         .select(
             *keys,
             "_slice",
+            "_parts",
             F.max("_slice_stop").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_stop_before"),
             F.min("_slice_start").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_start_after"),
         )
     )
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
+    somewhere = F.array(F.pmod(F.xxhash64(F.struct("_t", "_window")), F.col("_parts")))
+    dealt = join_summary(merged, slices, [*keys, "_slice"]).withColumn(
+        "_part", F.explode(F.when(F.col("_kind") == 1, everywhere).otherwise(somewhere))
+    )
+    inside = Window.partitionBy(*keys, "_slice", "_part")
+    earlier = inside.orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = inside.orderBy(F.desc("_t"), F.desc("_kind")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     stop = F.greatest("_stop_here", "_stop_before")
     nearest = F.least("_start_here", "_start_after")
     return (
-        merged.withColumns({"_stop_here": F.max("_stop").over(earlier), "_start_here": F.min("_start").over(later)})
+        dealt.withColumns({"_stop_here": F.max("_stop").over(earlier), "_start_here": F.min("_start").over(later)})
         .where(F.col("_kind") == 0)
-        .transform(join_summary, slices, [*keys, "_slice"])
         .select(
             *keys,
             "_window.*",

@@ -122,3 +122,52 @@ def test_effects_and_direction(spark):
     assert not summary["flat"]["all_events_same_direction"]
     partial = regime_summary(effects.where("event <> 'c'"), ["a", "b", "c"]).first()
     assert partial["c"] is None and partial["direction_consistency"] is None and not partial["all_events_same_direction"]
+
+
+def _slow_labels(spans, failures):
+    out = []
+    for asset, start, end in spans:
+        own = [(a, b) for m, a, b in failures if m == asset]
+        after = [a for a, _ in own if a >= end]
+        out.append((asset, start, end, any(a < end and b > start for a, b in own), min(after) - end if after else None))
+    return out
+
+
+@pytest.mark.parametrize("rows_per_slice", [7, 60, 100_000])
+def test_as_of_match_where_most_failures_fall_into_one_minute(spark, rows_per_slice):
+    import random
+
+    from forewarn.functions.slices import slice_borders, slice_number
+
+    draw = random.Random(3)
+    crowded = [10_000_000 + draw.randrange(60) for _ in range(540)]
+    failures = [(draw.choice("ab"), t, t + draw.choice([0, 1, 5, 4000])) for t in [*crowded, *(draw.randrange(20_000_000) for _ in range(60))]]
+    ends = [draw.choice([10_000_030, draw.randrange(20_000_000), 10_000_000 + draw.randrange(90)]) for _ in range(400)]
+    spans = [(draw.choice("ab"), e - draw.choice([1, 30, 3600]), e) for e in ends] + [("c", 5, 9)]
+    stamp = "CAST(timestamp_seconds({}) AS TIMESTAMP_NTZ)"
+
+    def table(rows, a, b):
+        df = spark.createDataFrame(rows, f"asset string, {a}_s long, {b}_s long")
+        return df.select("asset", *[F.expr(stamp.format(f"{c}_s")).alias(c) for c in (a, b)], *([] if a == "failure_start" else [f"{a}_s", f"{b}_s"]))
+
+    windows, broken = table(spans, "window_start", "window_end"), table(failures, "failure_start", "failure_end")
+    found = label_windows_from_table(windows, broken, ["asset"], rows_per_slice)
+    hours = F.round(F.col("hours_to_next_failure") * 3600).cast("long")
+    got = sorted(map(tuple, found.select("asset", "window_start_s", "window_end_s", "in_failure", hours).collect()), key=str)
+    assert got == sorted(_slow_labels(spans, failures), key=str)
+    # Slices follow the rows, not the clock: none is more than twice as large as it should be.
+    times = spark.createDataFrame([(10**9 * t,) for t in range(100)] + [(5 * 10**10 + i,) for i in range(900)], "t long")
+    borders = slice_borders(times, "t", 50)
+    counts = times.groupBy(slice_number(F.col("t"), borders).alias("s")).count().collect()
+    assert len(counts) >= 18 and max(r["count"] for r in counts) <= 100
+
+
+def test_slice_numbers_count_the_borders_at_or_below(spark):
+    from forewarn.functions.slices import slice_number
+
+    borders = [i * i for i in range(200)]
+    values = spark.range(-5, 40_100, 7)
+    wrong = values.select("id", slice_number(F.col("id"), borders).alias("s"))
+    expected = F.when(F.col("id") < 0, 0).otherwise(F.least(F.floor(F.sqrt("id")) + 1, F.lit(200)))
+    assert wrong.where(F.col("s") != expected).isEmpty()
+    assert spark.range(1).select(slice_number(F.lit(None).cast("long"), borders)).first()[0] == 0
