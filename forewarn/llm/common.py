@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from pathlib import Path
 from typing import Callable, Iterable, Iterator, Sequence
@@ -9,27 +11,43 @@ from typing import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forewarn.sources.sinks import stage_table
 
-__all__ = ["documents", "embeddings", "forget_after", "map_rows", "sealed", "ship", "stage_table", "table", "unsealed"]
+__all__ = ["documents", "embeddings", "forget_after", "map_rows", "sealed", "ship", "stage_table", "table", "unsealed",
+           "with_changed"]
 
 # Rows of one Arrow batch handed back to Spark, and bytes of an incoming one turned into Python values at a time.
 OUT_ROWS = 2000
 IN_BYTES = 4 << 20
 
-# What empties the caches of a Python worker; workers live on for other stages.
+# What empties the caches of a Python worker, and whose they are; workers live on for other stages.
 _CACHES: list[Callable[[], object]] = []
+_OWNER: list[str] = []
 
 
 def forget_after(clear: Callable[[], object]) -> None:
-    """Have a module's cache emptied at the end of each partition."""
+    """Have a module's cache emptied when the worker goes on to another kind of work."""
     _CACHES.append(clear)
 
 
-def forget() -> None:
-    for clear in _CACHES:
-        clear()
+def enter(owner: str) -> None:
+    """Begin a partition's work: what other work left in this worker's caches goes back to the system."""
+    if _OWNER != [owner]:
+        for clear in _CACHES:
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _trim()
+        _OWNER[:] = [owner]
+
+
+def _trim() -> None:
+    """Free pages of the C library's heap, where it can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def named(column: str) -> Column:
@@ -91,7 +109,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[Sequence]
 
     arrow = to_arrow_schema(fields)
 
+    owner = f"{rows.__module__}.{rows.__qualname__}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+
         def incoming() -> Iterator[tuple]:
             for batch in batches:
                 for part in slices(batch):
@@ -105,7 +127,34 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[Sequence]
                 waiting = []
         if waiting:
             yield _batch(waiting, arrow)
-        forget()
+
+    return df.mapInArrow(run, schema)
+
+
+def with_changed(
+    df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], change: Callable[..., Sequence], kind: str = "string"
+) -> DataFrame:
+    """The table with the columns ``outputs`` set to what ``change`` makes of the row's ``inputs``, by Arrow batches.
+
+    Columns need plain names (see ``sealed``); those that are no output pass through untouched.
+    """
+    ship(df.sparkSession)
+    kept = [field for field in df.schema if field.name not in outputs]
+    schema = T.StructType([*kept, *[T.StructField(name, T._parse_datatype_string(kind)) for name in outputs]])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(T._parse_datatype_string(kind))
+    names = [field.name for field in kept]
+    owner = f"{change.__module__}.{change.__qualname__}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(owner)
+        for batch in batches:
+            for part in slices(batch):
+                rows = zip(*[part.column(name).to_pylist() for name in inputs])
+                made = list(zip(*[change(*row) for row in rows]))
+                arrays = [part.column(name) for name in names] + [pa.array(values, arrow) for values in made]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *outputs])
 
     return df.mapInArrow(run, schema)
 

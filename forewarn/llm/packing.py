@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import map_rows, stage_table
+from forewarn.llm.common import forget_after, map_rows, stage_table
 
 CAPACITY = 2048
 #: Words a worker remembers, and words encoded at once.
@@ -163,6 +163,9 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+forget_after(word_tokens.cache_clear)
+
+
 def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
     """Rows in groups of about ``TOGETHER`` characters of text."""
     some, n = [], 0

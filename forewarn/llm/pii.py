@@ -18,12 +18,11 @@ from __future__ import annotations
 import re
 from typing import Callable, Iterator, Mapping
 
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import map_rows, sealed, ship, stage_table, unsealed
+from forewarn.llm.common import map_rows, sealed, stage_table, unsealed, with_changed
 from forewarn.llm.prefilter import split
 
 KINDS = ("email", "ip", "card", "phone")
@@ -295,20 +294,16 @@ def redact(texts: DataFrame, patterns: DataFrame | Mapping[str, int], text: str
 
     ``patterns`` is a table (pattern, kind), or a mapping that every worker can hold.
     """
-    ship(texts.sparkSession)
     if not isinstance(patterns, DataFrame):
         held = dict(patterns)
 
-        @F.pandas_udf("string")
-        def clean(column: pd.Series) -> pd.Series:
-            return column.map(lambda t: redact_text(t, held), na_action="ignore")
+        def clean(content: str | None) -> tuple[str | None]:
+            return (None if content is None else redact_text(content, held),)
 
-        return texts.withColumn(text, clean(F.col(text)))
+        return with_changed(sealed(texts, text), ["text"], ["text"], clean).select(*unsealed(texts.columns, text))
 
-    @F.pandas_udf("string")
-    def merged(column: pd.Series, found: pd.Series) -> pd.Series:
-        pairs = zip(column, found)
-        return pd.Series([None if t is None else _redacted(t, _merged(base_spans(t), f)) for t, f in pairs], dtype=object)
+    def merged(content: str | None, found: list | None) -> tuple[str | None]:
+        return (None if content is None else _redacted(content, _merged(base_spans(content), found)),)
 
-    use = lambda rows: rows.withColumn("text", merged(F.col("text"), F.col("_found"))).drop("_found")
+    use = lambda rows: with_changed(rows, ["text", "_found"], ["text"], merged).drop("_found")
     return _with_found(sealed(texts, text), patterns, "text", use).select(*unsealed(texts.columns, text))

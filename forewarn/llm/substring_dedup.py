@@ -21,13 +21,12 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import sealed, ship, unsealed
+from forewarn.llm.common import enter, sealed, ship, slices, unsealed, with_changed
 from forewarn.llm.gear import rolling
 
 WINDOW = 16
@@ -75,9 +74,10 @@ def repeated_chunks(texts: DataFrame, key: str = "doc_id", text: str = "text") -
     names = ["doc_id", "place", "digest", "source_id", "source_place"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substring_dedup.cut")
         for batch in batches:
             parts = []
-            for name, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            for name, content in (pair for part in slices(batch) for pair in zip(*(part.column(i).to_pylist() for i in (0, 1)))):
                 data = content.encode()
                 found = digests(data, chunks(data))
                 parts.append((np.full(len(found), name, np.int64), np.arange(len(found), dtype=np.int32), found))
@@ -188,31 +188,22 @@ def without_passages(
     rows = sealed(texts, text).withColumn("_id", F.col(f"row.c{texts.columns.index(key)}").cast("long"))
     joined = rows.join(by_doc, F.col("_id") == F.col("_of"), "left")
 
-    @F.pandas_udf("struct<text: string, removed: string>")
-    def clean(column: pd.Series, founds: pd.Series) -> pd.DataFrame:
-        out = []
-        for content, entries in zip(column, founds):
-            if content is None or entries is None or not len(entries):
-                out.append((content, ""))
-                continue
-            spans = removed_spans(content, list(entries), least_words)
-            data, parts, done, at, marks = content.encode(), [], 0, 0, []
-            for start, end in spans:
-                kept = data[done:start]
-                parts.append(kept)
-                at += len(kept.decode())
-                length = len(data[start:end].decode())
-                marks.append(f"{at}:{at + length}")
-                at += length
-                done = end
-            parts.append(data[done:])
-            out.append((b"".join(parts).decode(), ",".join(marks)))
-        return pd.DataFrame(out, columns=["text", "removed"])
-
-    cleaned = F.when(F.col("_found").isNotNull(), clean(F.col("text"), F.col("_found"))).alias("_clean")
-    value = F.when(F.col("_clean").isNull(), F.col("text")).otherwise(F.col("_clean.text")).alias("text")
-    gone = F.coalesce(F.col("_clean.removed"), F.lit("")).alias("removed")
-    kept = joined.select("row", "text", cleaned).select("row", value, gone)
+    def clean(content: str | None, entries: list | None) -> tuple[str | None, str]:
+        if content is None or not entries:
+            return content, ""
+        data, parts, done, at, marks = content.encode(), [], 0, 0, []
+        for start, end in removed_spans(content, entries, least_words):
+            kept = data[done:start]
+            parts.append(kept)
+            at += len(kept.decode())
+            length = len(data[start:end].decode())
+            marks.append(f"{at}:{at + length}")
+            at += length
+            done = end
+        parts.append(data[done:])
+        return b"".join(parts).decode(), ",".join(marks)
+
+    kept = with_changed(joined.select("row", "text", "_found"), ["text", "_found"], ["text", "removed"], clean)
     columns = unsealed(texts.columns, text)
     if removed:
         columns.append(F.col("removed").alias(removed))

@@ -21,7 +21,7 @@ from typing import Iterator
 
 from pyspark.sql import DataFrame
 
-from forewarn.llm.common import map_rows
+from forewarn.llm.common import forget_after, map_rows
 
 MARK = "▁"
 REMEMBERED = 200_000
@@ -123,6 +123,9 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
+forget_after(counter.cache_clear)
+
+
 def count_tokens(texts: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: its key, ``n_bytes`` (UTF-8) and ``n_tokens``, without begin and end tokens."""
 

@@ -25,7 +25,6 @@ from itertools import pairwise
 from typing import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
@@ -33,7 +32,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import forget, forget_after, map_rows, ship, slices, stage_table
+from forewarn.llm.common import enter, forget_after, map_rows, ship, slices, stage_table, with_changed
 
 NOTHING, ACCEPT, REJECT = 0, 1, 2
 TASKS = ("quality", "toxicity")
@@ -229,9 +228,8 @@ def fit_scorers(
         return {task: (np.zeros(WIDTH), 0.0) for task in TASKS}
     ids = _identified(texts, key, text)
 
-    @F.pandas_udf("array<int>")
-    def places(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: features(*votes(t)))
+    def places(content: str | None) -> tuple[list[int]]:
+        return (features(*votes(content)),)
 
     vector = F.udf(lambda p: SparseVector(WIDTH, p, [1.0] * len(p)), VectorUDT())
     scorers = {}
@@ -259,7 +257,7 @@ def fit_scorers(
         chosen = chosen.select("doc_id", "hash", "good", stands.alias("stands"))
         rows = ids.join(F.broadcast(chosen), ["doc_id", "hash"])  # ``train_rows`` rows of a few numbers
         rows = rows.groupBy("doc_id", "hash").agg(*[F.first(c).alias(c) for c in ("text", "good", "stands")])
-        rows = stage_table(rows.select(places("text").alias("places"), "good", "stands"), "weak-train")
+        rows = stage_table(with_changed(rows.select("text", "good", "stands"), ["text"], ["places"], places, "array<int>").drop("text"), "weak-train")
         # A row counts for both classes, as much as it is likely to be of each.
         sides = F.array(
             F.struct(F.lit(1.0).alias("label"), F.col("good").alias("chance")),
@@ -306,11 +304,11 @@ def keep_good(texts: DataFrame, scorers: Mapping[str, tuple[np.ndarray, float]],
     place = texts.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("weak_labels.keep_good")
         for batch in batches:
             for part in slices(batch):
                 good = [min(_score(held.value, content)) >= 0.5 for content in part.column(place).to_pylist()]
                 yield part.filter(pa.array(good, pa.bool_()))
-        forget()
 
     plain = texts.toDF(*[f"c{i}" for i in range(len(texts.columns))])  # Spark's batches need plain names
     return plain.mapInArrow(kept, plain.schema).toDF(*texts.columns)
