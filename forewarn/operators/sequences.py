@@ -82,16 +82,19 @@ def fill_short_holes(binned: DataFrame, spec: TelemetrySpec, max_fill: int) -> D
 
     Analogue channels take the straight line between their known neighbours and
     need both; digital channels repeat the last value and need only the left one.
+
+    The neighbours of all channels come from one scan forward and one backward: each keeps the last known step and
+    value, so the work grows with the steps and not with their square.
     """
     inside = Window.partitionBy("window_id").orderBy("step")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    after = inside.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("window_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     recent = inside.rowsBetween(-max_fill, -1)
     neighbours = {}
     for name in spec.analogue:
         known = F.when(F.col(name).isNotNull(), F.struct(F.col("step"), F.col(name).alias("value")))
         neighbours[f"_left_{name}"] = F.last(known, ignorenulls=True).over(before)
-        neighbours[f"_right_{name}"] = F.first(known, ignorenulls=True).over(after)
+        neighbours[f"_right_{name}"] = F.last(known, ignorenulls=True).over(after)
     for name in spec.digital:
         neighbours[f"_recent_{name}"] = F.last(name, ignorenulls=True).over(recent)
     filled = {}

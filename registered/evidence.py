@@ -74,6 +74,35 @@ decided AS (
     CAST(probability >= s.threshold AS INTEGER) AS operational_prediction
   FROM traces t JOIN selected s ON s.model = t.model AND s.horizon_hours = t.horizon_hours WHERE t.fold IS NULL)"""
 
+# The same choice without a row for each candidate and window: a window reaches so many candidates, and opens runs for
+# those between what the window before it reached (none after a gap) and what it reaches itself.
+CHOSEN_CTES = """traced_once AS MATERIALIZED (SELECT * FROM traces),
+candidates AS (
+  SELECT CAST(i AS INTEGER) AS candidate, 0.05::DOUBLE + i * ((0.05::DOUBLE + 0.01::DOUBLE) - 0.05::DOUBLE) AS threshold
+  FROM generate_series(0, 90) AS g(i)),
+reaches AS MATERIALIZED (
+  SELECT probability, count(*) FILTER (threshold <= probability) AS reached
+  FROM (SELECT DISTINCT probability FROM traced_once), candidates GROUP BY 1),
+stepped AS MATERIALIZED (
+  SELECT model, horizon_hours, true_label, reached,
+    CASE WHEN epoch_us(window_start) - epoch_us(lag(window_start) OVER w) <= 1800000000 THEN lag(reached) OVER w ELSE 0 END AS low
+  FROM traced_once t JOIN reaches USING (probability) JOIN seeds s ON s.seed = t.seed JOIN folds f ON f.fold = t.fold
+  WINDOW w AS (PARTITION BY model, horizon_hours, segment_id ORDER BY window_start, s.s, f.position)),
+counted AS MATERIALIZED (
+  SELECT model, horizon_hours, true_label, reached, coalesce(low, 0) AS low, count(*) AS n FROM stepped GROUP BY ALL),
+sweep AS (
+  SELECT model, horizon_hours, candidate, threshold,
+    coalesce(sum(n) FILTER (true_label = 1 AND reached > candidate), 0) AS tp,
+    coalesce(sum(n) FILTER (true_label = 0 AND reached > candidate), 0) AS fp,
+    coalesce(sum(n) FILTER (true_label = 1 AND reached <= candidate), 0) AS fn,
+    coalesce(sum(n) FILTER (true_label = 0 AND reached > candidate AND low <= candidate), 0) AS runs
+  FROM counted, candidates GROUP BY ALL),
+selected AS MATERIALIZED (
+  SELECT model, horizon_hours, round(threshold, 10) AS threshold
+  FROM (SELECT *, row_number() OVER (PARTITION BY model, horizon_hours ORDER BY
+      CASE WHEN 5 * tp + 4 * fn + fp = 0 THEN 0.0 ELSE 5.0 * tp / (5 * tp + 4 * fn + fp) END DESC, runs, threshold DESC) AS place
+    FROM sweep) WHERE place = 1)"""
+
 RUN_CTES = f"""{SWEEP_CTES},
 ordered AS (
   SELECT *, lag(reference_prediction) OVER w AS before, lag(window_start) OVER w AS before_start
@@ -320,8 +349,13 @@ def th3_per_seed(study):
 @query(
     "th4_applied_thresholds",
     rounded(
-        sql("SELECT model, horizon_hours, seed, window_id, operational_threshold, reference_prediction,"
-            " operational_prediction FROM decided", SWEEP_CTES),
+        sql(
+            """SELECT model, horizon_hours, seed, window_id, threshold AS operational_threshold,
+                 CAST(probability >= 0.5 AS INTEGER) AS reference_prediction,
+                 CAST(probability >= threshold AS INTEGER) AS operational_prediction
+               FROM traced_once JOIN selected USING (model, horizon_hours) WHERE fold IS NULL""",
+            CHOSEN_CTES,
+        ),
         "operational_threshold",
     ),
 )

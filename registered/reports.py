@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from forewarn.operators.alerts import CELL
@@ -299,16 +300,20 @@ def ag17(study):
     "so5_timeline_order",
     rounded(
         sql(
-            """SELECT hours_to_next_failure, avg(probability) AS probability_mean, stddev_samp(probability) AS probability_std
-               FROM traces WHERE fold = 'may_failure' AND model = 'tcn' AND horizon_hours = 12
-                 AND hours_to_next_failure BETWEEN 0 AND 24 GROUP BY 1 ORDER BY 1 DESC"""
+            """SELECT *, row_number() OVER (PARTITION BY event, model, horizon_hours ORDER BY hours_to_next_failure DESC) AS place
+               FROM (SELECT coalesce(fold, 'july_holdout') AS event, model, horizon_hours, hours_to_next_failure,
+                   avg(probability) AS probability_mean, stddev_samp(probability) AS probability_std
+                 FROM traces WHERE hours_to_next_failure BETWEEN 0 AND 24 GROUP BY ALL)"""
         ),
         "hours_to_next_failure", "probability_mean", "probability_std",
     ),
 )
 def so5(study):
-    rows = filter_rows(study.with_stored_windows().traces(), fold="may_failure", model="tcn", horizon_hours=12)
-    return event_timeline(rows).orderBy(F.desc("hours_to_next_failure"))
+    """Every cell's timeline from far to near; a timeline's hours are as many as its last day has windows."""
+    rows = study.with_stored_windows().traces().withColumn("event", F.coalesce("fold", F.lit(GRID.holdout_event)))
+    cells = ["event", "model", "horizon_hours"]
+    order = Window.partitionBy(*cells).orderBy(F.desc("hours_to_next_failure"))
+    return event_timeline(rows, cells).withColumn("place", F.row_number().over(order)).orderBy(*cells, "place")
 
 
 @query(

@@ -122,3 +122,32 @@ def test_id_fingerprint_ignores_order(spark):
 def test_history_must_be_covered(spark):
     with pytest.raises(ValueError, match="make up"):
         resample_windows(source(spark, [0, 1]), accepted(spark, [(0, 1)]), SPEC, SEQUENCE, WindowPolicy(1800, 900))
+
+
+def test_long_windows_are_filled_in_time_linear_in_their_steps(spark):
+    """One window of 40,000 steps against a plain fill; a frame read anew for each step would not end here."""
+    import random
+    import time
+
+    from forewarn.operators.sequences import fill_short_holes
+    from forewarn.spec import TelemetrySpec
+
+    spec = TelemetrySpec(analogue={"a": (0.0, 9.0), "b": (0.0, 9.0)}, digital=("d",), timestamp="ts")
+    draw = random.Random(1)
+    steps = 40_000
+    rows = [("w", i, *[draw.choice([None, draw.random() * 9]) for _ in "ab"], draw.choice([None, 0.0, 1.0])) for i in range(steps)]
+    binned = spark.createDataFrame(rows, "window_id string, step int, a double, b double, d double")
+    start = time.time()
+    got = {r["step"]: r for r in fill_short_holes(binned, spec, 2).select("step", "a", "b", "d").collect()}
+    assert time.time() - start < 60
+    for place, name in ((2, "a"), (3, "b")):
+        known = [i for i in range(steps) if rows[i][place] is not None]
+        for left, right in zip(known, known[1:]):
+            for i in range(left + 1, right):
+                line = rows[left][place] + (rows[right][place] - rows[left][place]) / (right - left) * (i - left)
+                want = line if i - left <= 2 else None
+                assert (got[i][name] is None) if want is None else abs(got[i][name] - want) < 1e-9
+        assert all(got[i][name] is None for i in range(known[-1] + 1, steps))
+    for i in range(steps):
+        near = next((rows[j][4] for j in (i, i - 1, i - 2) if j >= 0 and rows[j][4] is not None), None)
+        assert got[i]["d"] == near
