@@ -58,13 +58,15 @@ def row_number_of_text(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
-def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-independent digest that repeated rows do not cancel.
+def table_fingerprint(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Row count and an order-independent digest that repeated rows do not cancel, for each value of the keys.
 
-    It is the sum of digests of the rows' texts, so another engine can recompute it.
+    It is the sum of digests of the rows' texts (all columns, or those named, in their order), so another engine can
+    recompute it.
     """
-    text = F.concat_ws("|", *[_plain_text(field) for field in df.schema])
-    return df.agg(
+    names = df.columns if columns is None else columns
+    text = F.concat_ws("|", *[_plain_text(df.schema[name]) for name in names])
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(row_number_of_text(text)), F.lit(0)).cast("string").alias("fingerprint"),
     )

@@ -38,7 +38,8 @@ from forewarn.operators.thresholds import (
     threshold_records,
 )
 from forewarn.plans.events_study import GRID, THRESHOLDS
-from forewarn.sources.sinks import stage_table
+from forewarn.sources.manifest import commit_cells, pending_in_manifest, read_cells
+from forewarn.sources.sinks import fresh_path, stage_table
 from registered.base import query, rounded, sql
 
 STEP = 1800
@@ -651,6 +652,47 @@ def jn8(study):
     return pending_cells(experiment_cells(study.spark, GRID), done).select(*CELL)
 
 
+def _committed(study):
+    """Traces committed cell by cell of what is not lost, next to a write that broke off; the commit is repeated."""
+    root = fresh_path(study.spark, "cells")
+    traces = study.stored_traces()
+    done = traces.where(f"NOT ({LOST_COLUMN})")
+    commit_cells(done, root, "study")
+    # What a broken write leaves: rows under a batch that no manifest row names.
+    traces.write.partitionBy(*CELL).parquet(f"{root}/cells/batch=broken")
+    commit_cells(done, root, "study")
+    return root
+
+
+@query(
+    "snk2_committed_cells",
+    sql(
+        f"""SELECT model, horizon_hours, CAST(seed AS INTEGER) AS seed, count(*) AS windows, sum(true_label)::BIGINT AS positives
+            FROM traces WHERE NOT ({LOST_COLUMN}) GROUP BY ALL"""
+    ),
+)
+def snk2_committed(study):
+    """Only committed cells are read, each once."""
+    return (
+        read_cells(study.spark, _committed(study))
+        .groupBy("model", "horizon_hours", "seed")
+        .agg(F.count("*").alias("windows"), F.sum(F.col("true_label").cast("long")).alias("positives"))
+    )
+
+
+@query(
+    "jn8_pending_in_manifest",
+    sql(
+        f"""SELECT model, horizon_hours, CAST(seed AS INTEGER) AS seed FROM grid EXCEPT
+            SELECT model, horizon_hours, seed FROM traces WHERE NOT ({LOST_COLUMN})""",
+        GRID_CTE,
+    ),
+)
+def jn8_manifest(study):
+    """Cells still to run, from the manifest alone."""
+    return pending_in_manifest(experiment_cells(study.spark, GRID), _committed(study), "study").select(*CELL)
+
+
 @query(
     "st2_window_set_equality",
     sql(
