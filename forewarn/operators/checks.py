@@ -75,6 +75,32 @@ def identity_mismatches(traces: DataFrame, models: Sequence[str]) -> DataFrame:
     )
 
 
+def pair_digests(traces: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
+    """Per cell: rows and two independent sums over hashes of its (window, label) pairs, whatever their order."""
+    wide = "decimal(38,0)"
+    return traces.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.xxhash64("window_id", "true_label").cast(wide)).alias("digest"),
+        F.sum(F.xxhash64(F.lit(1), "true_label", "window_id").cast(wide)).alias("second_digest"),
+    )
+
+
+def differing_groups(traces: DataFrame, models: Sequence[str]) -> DataFrame:
+    """(horizon_hours, seed) whose models did not score the same rows, by digests: one row a cell is all that moves."""
+    same = F.count_distinct("rows", "digest", "second_digest") == 1
+    complete = F.count_distinct("model") == len(models)
+    grouped = pair_digests(traces).groupBy("horizon_hours", "seed").agg((same & complete).alias("_agree"))
+    return grouped.where(~F.col("_agree")).select("horizon_hours", "seed")
+
+
+def differing_identities(traces: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The rows of ``identity_mismatches`` with unequal pairs; windows are compared only where digests differ."""
+    suspects = F.broadcast(differing_groups(traces, models))  # at most a row for each horizon and seed of the grid
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("horizon_hours", "seed")]
+    kept = traces.alias("t").join(suspects.alias("s"), same, "left_semi")
+    return identity_mismatches(kept, models).where("unequal_pairs > 0")
+
+
 def missing_pairs(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct rows of ``left`` that ``right`` does not have."""
     return left.select(*columns).distinct().join(right.select(*columns), list(columns), "left_anti")
@@ -101,7 +127,7 @@ def evidence_errors(
     repeated = rows.where("repeated_windows > 0").select(
         F.lit("identity").alias("check"), key.alias("key"), F.lit("Repeated window identities").alias("message")
     )
-    unequal = identity_mismatches(traces, grid.models).where("unequal_pairs > 0").select(
+    unequal = differing_identities(traces, grid.models).select(
         F.lit("window_set").alias("check"),
         F.concat(F.lit("h"), "horizon_hours", F.lit("/seed"), "seed").alias("key"),
         F.lit("Window/label mismatch").alias("message"),

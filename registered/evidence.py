@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from forewarn.operators.alerts import CELL, alert_runs, false_alert_episodes, mark_run_starts
 from forewarn.operators.checks import (
+    differing_identities,
     evidence_errors,
     evidence_report,
     experiment_cells,
@@ -707,6 +708,22 @@ def st2(study):
     return identity_mismatches(kept, GRID.models)
 
 
+@query(
+    "st2_differing_groups",
+    sql(
+        """SELECT horizon_hours, seed, pairs, unequal_pairs FROM (
+             SELECT horizon_hours, seed, count(*) AS pairs, count(*) FILTER (n <> 3) AS unequal_pairs FROM (
+               SELECT horizon_hours, seed, window_id, true_label, count(DISTINCT model) AS n FROM traces
+               WHERE NOT (model = 'tcn' AND seed = 89 AND probability > 0.95) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)
+           WHERE unequal_pairs > 0"""
+    ),
+)
+def st2_differing(study):
+    """One model lost its highest scores under one seed: only that seed's windows are compared one by one."""
+    lost = (F.col("model") == "tcn") & (F.col("seed") == 89) & (F.col("probability") > 0.95)
+    return differing_identities(study.stored_traces().where(~lost), GRID.models)
+
+
 @query(
     "st2_unequal_windows",
     sql(

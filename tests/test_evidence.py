@@ -214,3 +214,29 @@ def test_trace_files_by_name_and_by_partition(spark, tmp_path):
     assert load_trace(spark, path, "xgboost", 1, "may_failure").count() == 1
     with pytest.raises(ValueError, match="no predictions"):
         load_trace(spark, path, "xgboost", 1, "june_failure")
+
+
+def test_digests_find_swaps_and_repeats_and_agree_with_the_full_comparison(spark):
+    from forewarn.operators.checks import differing_groups, differing_identities, identity_mismatches
+
+    models = ("a", "b", "c")
+    rows = [(m, h, s, f"w{i}", i % 2) for m in models for h in (1, 6) for s in (1, 2, 3) for i in range(20)]
+
+    def found(changed):
+        traces = spark.createDataFrame(changed, "model string, horizon_hours int, seed int, window_id string, true_label int")
+        full = identity_mismatches(traces, models).where("unequal_pairs > 0")
+        got = sorted(map(tuple, differing_identities(traces, models).collect()))
+        assert got == sorted(map(tuple, full.collect()))
+        return sorted(map(tuple, differing_groups(traces, models).collect())), got
+
+    assert found(rows) == ([], [])
+    assert found(rows[::-1]) == ([], [])
+    swapped = [("b", 6, 2, "w3", 0) if r == ("b", 6, 2, "w3", 1) else r for r in rows]
+    assert found(swapped) == ([(6, 2)], [(6, 2, 21, 2)])
+    # Two labels exchanged leave counts and sums of labels as they were.
+    crossed = [(*r[:4], 1 - r[4]) if r[:3] == ("c", 1, 3) and r[3] in ("w4", "w5") else r for r in rows]
+    assert found(crossed)[0] == [(1, 3)]
+    # A repeated row is no other set, but not the same rows either; a missing one is both.
+    assert found([*rows, rows[0]]) == ([(1, 1)], [])
+    assert found(rows[1:]) == ([(1, 1)], [(1, 1, 20, 1)])
+    assert found([r for r in rows if r[:3] != ("a", 6, 1)]) == ([(6, 1)], [(6, 1, 20, 20)])
