@@ -21,6 +21,8 @@ __all__ = ["documents", "embeddings", "forget_after", "map_rows", "sealed", "shi
 # Rows of one Arrow batch handed back to Spark, and bytes of an incoming one turned into Python values at a time.
 OUT_ROWS = 2000
 IN_BYTES = 4 << 20
+#: Bytes of one Arrow batch between Spark and a Python task: rows are texts, and 10,000 of them can be any size.
+BATCH_BYTES = 8 << 20
 
 # What empties the caches of a Python worker, and whose they are; workers live on for other stages.
 _CACHES: list[Callable[[], object]] = []
@@ -37,14 +39,14 @@ def enter(owner: str) -> None:
     if _OWNER != [owner]:
         for clear in _CACHES:
             clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        _trim()
+        give_back()
         _OWNER[:] = [owner]
 
 
-def _trim() -> None:
-    """Free pages of the C library's heap, where it can."""
+def give_back() -> None:
+    """Return memory that is not used any more to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
@@ -86,10 +88,15 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it.
+    """Prepare a session for work in Python tasks: bounded batches, and this package where the driver found it.
 
-    A cluster gets the package by ``--py-files`` or an installed wheel; then this changes nothing.
+    A cluster gets the package by ``--py-files`` or an installed wheel; then nothing is added. A session that asks for
+    smaller batches keeps them.
     """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(bound).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import forget_after, map_rows, stage_table
+from forewarn.llm.common import forget_after, give_back, map_rows, stage_table
 
 CAPACITY = 2048
 #: Words a worker remembers, and words encoded at once.
@@ -160,7 +160,9 @@ class WordTokens:
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    tokens = WordTokens(path)
+    give_back()  # reading a tokenizer takes several times what it is
+    return tokens
 
 
 forget_after(word_tokens.cache_clear)
