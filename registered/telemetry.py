@@ -17,6 +17,7 @@ from forewarn.operators.profile import (
     sensor_percentiles,
 )
 from forewarn.operators.segments import assign_segments, segment_profile
+from forewarn.operators.sketches import add_days, daily_sketches, measured_rank_errors, rank_error, sketch_percentiles
 from forewarn.operators.validation import (
     flag_repeated_timestamps,
     in_range,
@@ -26,7 +27,7 @@ from forewarn.operators.validation import (
     validation_report,
 )
 from forewarn.plans.events_study import CLEAN, DIRTY, FLEET
-from forewarn.sources.sinks import fresh_path, table_fingerprint, write_quarantine
+from forewarn.sources.sinks import fresh_path, stage_table, table_fingerprint, write_quarantine
 from forewarn.sources.telemetry import coerce, scan_csv, scan_parquet
 from forewarn.spec import TelemetrySpec, WindowPolicy
 from registered.base import digest, query, rounded, sql
@@ -326,6 +327,29 @@ def ts16_lineitem(study):
     return sensor_percentiles(study.table("lineitem"), LINE_COLUMNS)
 
 
+SENSORS = ("value", "k")
+SKETCHED = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+
+
+@query(
+    "ts16_sketch_percentiles",
+    sql(
+        """SELECT sensor, rank, n, true AS is_within FROM (SELECT 'value' AS sensor, count(value) AS n FROM raw
+             UNION ALL SELECT 'k', count(k) FROM raw), (VALUES ('p1'), ('p50'), ('p99')) AS r(rank)"""
+    ),
+)
+def ts16_sketches(study):
+    """Percentiles from stored sketches of each day, held against the exact ranks of what they answer."""
+    readings = coerce(study.raw(), CLEAN)
+    path = fresh_path(study.spark, "sketches")
+    add_days(daily_sketches(readings, SENSORS, "ts"), path)
+    found = stage_table(sketch_percentiles(study.spark.read.parquet(path), SKETCHED), "sketched")
+    errors = measured_rank_errors(found, readings, SENSORS, SKETCHED)
+    return errors.join(found.select("sensor", "n"), "sensor").select(
+        "sensor", "rank", "n", (F.col("error") <= rank_error()).alias("is_within")
+    )
+
+
 @query(
     "ts17_missing_values",
     "SELECT * FROM (SELECT 'ts' AS column_name, count(*) FILTER (event_type = 'error') AS missing FROM events UNION ALL"
