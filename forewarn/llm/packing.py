@@ -40,6 +40,8 @@ TOGETHER = 1_000_000
 #: Fillings tried in one place, and places in the search.
 BRANCHES = 4
 NODES = 6000
+#: Splits tried at a time for plans that the search starts from.
+SPLITS = 16
 
 
 # How the tokenizer cuts words (fixed value).
@@ -354,6 +356,69 @@ def fillings(counts: np.ndarray, room: int, branches: int) -> list[tuple[int, ..
     return [filling for _, filling in found[:branches]]
 
 
+def _filled(counts: np.ndarray, pieces: tuple[int, ...], capacity: int) -> tuple[int, dict[int, int], int]:
+    """How often a sequence with these pieces, and shorter ones as they still fit, can be made; its pieces and waste."""
+    held: dict[int, int] = {}
+    for length in pieces:
+        held[length] = held.get(length, 0) + 1
+    room = capacity - sum(pieces)
+    while room > 0:
+        more = [c for c in np.flatnonzero(counts[: room + 1])[::-1] if counts[c] > held.get(int(c), 0)]
+        if not more:
+            break
+        held[int(more[0])] = held.get(int(more[0]), 0) + 1
+        room -= int(more[0])
+    return min(int(counts[length]) // n for length, n in held.items()), held, room
+
+
+def split_fit(lengths: Mapping[int, int], capacity: int, split: int) -> Plan:
+    """Pieces over ``split`` with the largest piece that fits next to them, the others in the fullest fillings.
+
+    Where sequences hold two or three pieces, the largest should stand in pairs, or they use up the short pieces that
+    make threes; which are the largest depends on the lengths.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in lengths.items():
+        counts[length] = n
+    plan: Plan = []
+    while len(have := np.flatnonzero(counts)):
+        largest = int(have[-1])
+        counts[largest] -= 1
+        room = capacity - largest
+        if largest > split:
+            further = tuple(int(c) for c in np.flatnonzero(counts[: room + 1])[-1:])
+        else:
+            further = fillings(counts, room, 1)[0]
+        counts[largest] += 1
+        times, held, _ = _filled(counts, (largest, *further), capacity)
+        for length, n in held.items():
+            counts[length] -= times * n
+        plan.append((times, held))
+    return plan
+
+
+def best_split(lengths: Mapping[int, int], capacity: int, enough: int) -> Plan:
+    """The best of ``split_fit`` over splits spread among the lengths, then over splits around the best one."""
+    known = sorted(lengths)
+    best: Plan | None = None
+    low, high = 0, len(known) - 1
+    for _ in range(2):
+        places = sorted({int(i) for i in np.linspace(low, high, SPLITS)})
+        tried = []
+        for place in places:
+            tried.append((split_fit(lengths, capacity, known[place]), place))
+            if sequences_of(tried[-1][0]) <= enough:
+                break
+        found, at = min(tried, key=lambda t: sequences_of(t[0]))
+        if best is None or sequences_of(found) < sequences_of(best):
+            best = found
+        if sequences_of(best) <= enough:
+            break
+        around = places.index(at)
+        low, high = places[max(0, around - 1)], places[min(len(places) - 1, around + 1)]
+    return best
+
+
 def plan_sequences(lengths: Mapping[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Few sequences for these counts of lengths; deterministic."""
     if not lengths:
@@ -365,6 +430,9 @@ def plan_sequences(lengths: Mapping[int, int], capacity: int = CAPACITY, nodes:
         counts[length] = n
     best = best_fit(lengths, capacity)
     fewest, least = sequences_of(best), lower_bound(counts, capacity)
+    if fewest > least:
+        best = min(best, best_split(lengths, capacity, least), key=sequences_of)
+        fewest = sequences_of(best)
     tokens = int((counts * np.arange(capacity + 1)).sum())
     # Depth first: each entry is (counts, sequences so far, waste so far, link to the plan so far).
     stack: list[tuple[np.ndarray, int, int, tuple | None]] = [(counts, 0, 0, None)]
@@ -384,18 +452,7 @@ def plan_sequences(lengths: Mapping[int, int], capacity: int = CAPACITY, nodes:
         options = fillings(counts, capacity - largest, BRANCHES)
         counts[largest] += 1
         for filling in reversed(options):
-            pieces: dict[int, int] = {}
-            for length in (largest, *filling):
-                pieces[length] = pieces.get(length, 0) + 1
-            room = capacity - largest - sum(filling)
-            # Short pieces go on filling what three pieces leave.
-            while room > 0:
-                more = [c for c in np.flatnonzero(counts[: room + 1])[::-1] if counts[c] > pieces.get(int(c), 0)]
-                if not more:
-                    break
-                pieces[int(more[0])] = pieces.get(int(more[0]), 0) + 1
-                room -= int(more[0])
-            times = min(int(counts[length]) // n for length, n in pieces.items())
+            times, pieces, room = _filled(counts, (largest, *filling), capacity)
             after = counts.copy()
             for length, n in pieces.items():
                 after[length] -= times * n
