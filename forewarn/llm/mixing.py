@@ -2,13 +2,17 @@
 
 The words of each source are summed. Weights share all words among the sources; a source takes at most ``most`` times
 what it has, and what it cannot take is shared again among the others by weight until no target is above its bound.
-Target over size is a source's repetition rate: each document is taken floor(rate) times, and once more if a number
-drawn from a hash of its id is below the fraction. Nothing but the hash decides, so reruns agree.
+Target over size is a source's repetition rate: each document is taken floor(rate) times, and once more by a draw whose
+chance is the fraction. Draws are seeded by hashes of the source and of the ids, so reruns agree.
 
-Rows that agree in id, source and size are numbered, and the number is part of the hash: copies of one row are decided
-each for itself. As draws are independent, a source's taken words miss its target by a few standard deviations of one
-draw for each document, little where it has thousands of them. A null text has no words, a null source is a source of its own (the last in order), a null id is an
-id like others. A source without words has target 0 and its documents are taken 0 times. An empty table gives no rows.
+Independent draws miss a target by several per cent where long documents hold much of a source. So a source's draws
+are spread over its documents in the order of their sizes: from a start that the hash of the source draws, steps as long
+as the fraction pass a whole number once for each copy. Each document's chance is still the fraction, and what is
+taken misses the target by about the longest document at most.
+
+Rows that agree in all columns are drawn one by one like others. A null text has no words, a null source is a source of
+its own (the last in order), a null id comes before others of its size. A source without words has target 0 and its
+documents are taken 0 times. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forewarn.llm.common import stage_table
+from forewarn.llm.common import named, stage_table
 from forewarn.llm.ranking import ranked
 
 #: Weights of the sources in their order, repeated as often as needed.
@@ -80,48 +84,39 @@ def targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     )
 
 
-def _copies(rate: Column, doc_id: Column, nth: Column, seed: int) -> Column:
-    """floor(rate), and one more with the fraction's probability; the draw is the first 52 bits of an MD5."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("-")), nth.cast("string"))
-    drawn = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
-    return F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
-
-
-def _with_rates(rows: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
-    """Rows with ``source``, ``doc_id``, ``size`` and ``nth`` joined to their source, with ``copies`` and ``taken``."""
-    rates = shares.withColumnRenamed("source", "_source")
-    joined = rows.join(rates, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    return joined.withColumn("copies", _copies(F.col("rate"), F.col("doc_id"), F.col("nth"), seed)).withColumn(
-        "taken", F.col("copies") * F.col("size")
-    )
+def _uniform(name: Column, seed: int) -> Column:
+    """A number from 0 to 1 that a name and the seed decide: the first 52 bits of an MD5."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(name.cast("string"), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
 def decisions(sized: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame:
-    """A row for each document: ``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``copies`` and ``taken``."""
-    # Equal rows are counted before they meet, and told apart again by their number.
-    counted = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    rows = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
-    return _with_rates(rows, shares, seed).drop("nth", "rate")
+    """The rows of a written table of sizes with ``source_size``, ``target``, ``copies`` and ``taken``."""
+    turn, named = _uniform(F.col("doc_id"), seed), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
+    placed = ranked(sized.withColumns({"turn": turn, "named": named}), "named", ["size", "turn", "doc_id"], "mix-places")
+    rates = shares.withColumnRenamed("source", "of_source")
+    joined = placed.join(rates, placed["source"].eqNullSafe(rates["of_source"]))
+    fraction, start = F.col("rate") - F.floor("rate"), _uniform(F.col("source"), seed)
+    # Of the places of a source, in steps of the fraction from a drawn start, those at which a whole number is passed.
+    drawn = F.floor(start + (F.col("place") + 1) * fraction) - F.floor(start + F.col("place") * fraction)
+    copies = F.floor("rate") + drawn
+    return joined.select(
+        *sized.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
 
 
 def mixed(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns they came with."""
-    # The caller's columns travel in one struct, so their names can be any.
+    # The caller's columns travel in one struct, so their names can be any, and each row gets a number.
     plain = docs.select(
-        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
         "doc_id",
         F.col("source").cast("string").alias("source"),
         size.cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("number"),
     )
-    sized = stage_table(plain.select("doc_id", "source", "size"), "mix-sizes")
-    shares = targets(sized, weights, most)
-    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "size")], F.col("source"))
-    repeated = sized.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key")
-    repeated = stage_table(repeated, "mix-repeated")
-    keyed = plain.withColumn("key", key)
-    single = keyed.join(repeated, "key", "left_anti").withColumn("nth", F.lit(1).cast("long"))
-    several = ranked(stage_table(keyed.join(repeated, "key", "left_semi"), "mix-copies"), "key", [], "mix-copy-order")
-    several = several.withColumn("nth", F.col("place") + 1).select(*single.columns)
-    taken = _with_rates(single.unionByName(several), shares, seed).where(F.col("copies") > 0)
-    emitted = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    plain = stage_table(plain, "mix-documents")
+    sized = plain.select("doc_id", "source", "size", "number")
+    taken = decisions(sized, targets(sized, weights, most), seed).where(F.col("copies") > 0).select("number", "copies")
+    emitted = plain.join(taken, "number").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return emitted.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -264,6 +264,11 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _mix_draw(name: str) -> str:
+    text = f"concat('{mixing.SEED}:', coalesce(CAST({name} AS VARCHAR), '-'))"
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 SQL["op13_source_mix"] = f"""
 WITH sized AS MATERIALIZED (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
@@ -284,12 +289,13 @@ targets AS (
   SELECT source, source_size, CASE WHEN is_bound THEN CAST(3 * source_size AS DOUBLE)
     ELSE weight * CAST(level.rest AS DOUBLE) / CAST(level.free AS DOUBLE) END AS target
   FROM bound, level),
-rows AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), '-'),
-      row_number() OVER (PARTITION BY doc_id, s.source, size)) AS seed
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+placed AS (
+  SELECT doc_id, size, source_size, target, rate - floor(rate) AS fraction, floor(rate) AS whole,
+    row_number() OVER (PARTITION BY source ORDER BY size, turn, doc_id NULLS FIRST) - 1 AS place, start
+  FROM (
+    SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+      {_mix_draw("doc_id")} AS turn, {_mix_draw("s.source")} AS start
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source))
 SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5(seed), 1, 13) AS BIGINT) / 4503599627370496.0 < rate - floor(rate)
-    THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM rows"""
+  CAST(size * (whole + floor(start + (place + 1) * fraction) - floor(start + place * fraction)) AS BIGINT) AS taken
+FROM placed"""
