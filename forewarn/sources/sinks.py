@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,29 @@ def write_quarantine(quarantined: DataFrame, path: str, fmt: str = "parquet") ->
     return True
 
 
+def write_validated(flagged: DataFrame, path: str) -> dict[str, int]:
+    """Write valid and rejected rows in one pass, as ``is_valid=true`` and ``is_valid=false``, and count them on the way.
+
+    The counts are those of ``validation_report`` but for the segments. They are taken in the tasks that write, whose
+    output counts once however often a task is tried.
+    """
+    counted = Observation("validated")
+    observed = flagged.observe(
+        counted,
+        F.count(F.lit(1)).alias("input_rows"),
+        F.count_if("is_valid").alias("valid_rows"),
+        F.count_if(~F.col("is_valid")).alias("quarantined_rows"),
+        F.count_if("duplicate_timestamp").alias("duplicate_timestamps"),
+    )
+    observed.write.mode("errorifexists").partitionBy("is_valid").parquet(path)
+    return counted.get
+
+
+def read_validated(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_validated``; a filter on ``is_valid`` opens one of its two folders."""
+    return spark.read.parquet(path).withColumn("is_valid", F.col("is_valid").cast("boolean"))
+
+
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str] = ("model", "horizon_hours")) -> None:
     """Write a table partitioned by grid keys, so that readers prune by folder."""
     df.write.mode("overwrite").partitionBy(*keys).parquet(path)

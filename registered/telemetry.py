@@ -27,7 +27,7 @@ from forewarn.operators.validation import (
     validation_report,
 )
 from forewarn.plans.events_study import CLEAN, DIRTY, FLEET
-from forewarn.sources.sinks import fresh_path, stage_table, table_fingerprint, write_quarantine
+from forewarn.sources.sinks import fresh_path, read_validated, stage_table, table_fingerprint, write_quarantine, write_validated
 from forewarn.sources.telemetry import coerce, scan_csv, scan_parquet
 from forewarn.spec import TelemetrySpec, WindowPolicy
 from registered.base import digest, query, rounded, sql
@@ -172,6 +172,29 @@ def val5(study):
     return validation_report(flagged, segments)
 
 
+@query(
+    "val5_report_while_writing",
+    sql(
+        """SELECT count(*) AS input_rows, count(*) FILTER (is_valid) AS valid_rows,
+             count(*) FILTER (NOT is_valid) AS quarantined_rows,
+             count(*) FILTER (duplicate_timestamp) AS duplicate_timestamps,
+             count(*) FILTER (is_valid) AS stored_valid, count(*) FILTER (NOT is_valid) AS stored_quarantined
+           FROM judged""",
+        **DIRTY_SQL,
+    ),
+)
+def val5_writing(study):
+    """Counts taken while valid and rejected rows are written, next to those of what was written."""
+    path = fresh_path(study.spark, "validated")
+    counts = write_validated(dirty(study).flagged(True), path)
+    stored = read_validated(study.spark, path)
+    return stored.agg(
+        *[F.lit(int(n)).cast("long").alias(name) for name, n in counts.items()],
+        F.count_if("is_valid").alias("stored_valid"),
+        F.count_if(~F.col("is_valid")).alias("stored_quarantined"),
+    )
+
+
 @query(
     "ts1_gap_segments",
     rounded(

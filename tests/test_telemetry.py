@@ -11,7 +11,7 @@ from forewarn.operators.segments import assign_segments, segment_profile
 from forewarn.operators.validation import quarantined_rows, valid_rows, validate, validation_report
 from forewarn.operators.windows import degenerate_windows, feature_columns, require_rates, window_features
 from forewarn.plans.audit import audit_report, audit_tables, write_audit
-from forewarn.sources.sinks import table_fingerprint, write_quarantine
+from forewarn.sources.sinks import read_validated, table_fingerprint, write_quarantine, write_validated
 from forewarn.sources.telemetry import coerce, scan_csv, scan_parquet
 from forewarn.spec import FAILURES, WindowPolicy
 from tests.fixtures import SPEC, START, telemetry
@@ -247,6 +247,18 @@ def test_quarantine_is_written_only_when_needed(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "some"), header=True).count() == 1
 
 
+def test_report_is_counted_while_rows_are_written(spark, tmp_path):
+    dirty = validate(coerce(telemetry(spark, [*range(10), 3, 3], {2: {"TP2": 50.0}}), SPEC), SPEC)
+    report = validation_report(dirty, segment_profile(assign_segments(valid_rows(dirty), SPEC, 30), SPEC)).first().asDict()
+    report.pop("segments")
+    assert write_validated(dirty, str(tmp_path / "rows")) == report and report["duplicate_timestamps"] == 2
+    stored = read_validated(spark, str(tmp_path / "rows"))
+    assert sorted(stored.where("is_valid").select("TP2").collect()) == sorted(valid_rows(dirty).select("TP2").collect())
+    assert stored.where("NOT is_valid").count() == report["quarantined_rows"]
+    nothing = write_validated(dirty.limit(0), str(tmp_path / "none"))
+    assert set(nothing.values()) == {0}
+
+
 def test_csv_scan_keeps_rows_order_and_bad_cells(spark, tmp_path):
     lines = ["timestamp," + ",".join(SPEC.channels)]
     lines += [f"2020-02-01 00:00:{s:02d}" + ",1,1,1,1,1,1,1,1" for s in range(5)]
