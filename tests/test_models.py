@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from forewarn.operators import boosting, kernels, scoring
@@ -185,3 +187,17 @@ def test_grid_from_fit_to_costs(spark):
     assert wrong.isEmpty() and set(result.rounds) == {(3, 1), (3, 2), (12, 1), (12, 2)}
     assert all(len(result.models[c].trees) == max(1, int(np.median(result.rounds[c]))) for c in result.rounds)
     assert result.costs.count() == 4 and result.costs.where("development_fit_seconds <= 0 OR prediction_seconds <= 0").isEmpty()
+
+
+def test_fitted_regression_scores_after_an_observed_write(spark, tmp_path):
+    """MLlib's model takes the session along, which holds its observations from the first one on."""
+    data = spark.range(60).select(
+        array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 3).cast("double"))).alias("features"),
+        (F.col("id") % 2).cast("double").alias("label"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_validation"),
+    )
+    counted = Observation("rows")
+    data.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "observed"))
+    assert counted.get == {"n": 60}
+    model, _ = scoring.logistic_trainer()(data, None)
+    scores = [r["probability"] for r in scoring.score_with(model, data).collect()]
+    assert len(scores) == 60 and all(0 < score < 1 for score in scores)
