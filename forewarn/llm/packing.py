@@ -17,6 +17,7 @@ empty table gives no sequences. Other columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import zlib
@@ -338,8 +339,10 @@ def fillings(counts: np.ndarray, room: int, branches: int) -> list[tuple[int, ..
         found += [(int(s), (int(a), int(b))) for s, a, b in zip(total[good][order], first[good][order], second[good][order])]
         best = max(s for s, _ in found)
         if best < room:
-            # A spread of first pieces, each with its best pair for what is left.
-            for a in first[np.linspace(0, len(first) - 1, min(len(first), 24)).astype(int)]:
+            # A spread of first pieces, each with its best pair for what is left; full ones come before all others, those
+            # with the largest first piece in front.
+            full = 0
+            for a in first[np.linspace(0, len(first) - 1, min(len(first), 24)).astype(int)][::-1]:
                 a = int(a)
                 counts[a] -= 1
                 rest = floor_of[: room - a + 1]
@@ -351,7 +354,10 @@ def fillings(counts: np.ndarray, room: int, branches: int) -> list[tuple[int, ..
                     i = int(total.argmax())
                     if a + total[i] > best:
                         found.append((int(a + total[i]), (a, int(pair[i]), int(third[i]))))
+                        full += a + total[i] == room
                 counts[a] += 1
+                if full == branches:
+                    break
     found.sort(key=lambda f: (-f[0], len(f[1]), tuple(-x for x in f[1])))
     return [filling for _, filling in found[:branches]]
 
@@ -363,25 +369,30 @@ def _filled(counts: np.ndarray, pieces: tuple[int, ...], capacity: int) -> tuple
         held[length] = held.get(length, 0) + 1
     room = capacity - sum(pieces)
     while room > 0:
-        more = [c for c in np.flatnonzero(counts[: room + 1])[::-1] if counts[c] > held.get(int(c), 0)]
-        if not more:
+        have = np.flatnonzero(counts[: room + 1])[::-1]
+        more = next((c for c in map(int, have) if counts[c] > held.get(c, 0)), None)
+        if more is None:
             break
-        held[int(more[0])] = held.get(int(more[0]), 0) + 1
-        room -= int(more[0])
+        held[more] = held.get(more, 0) + 1
+        room -= more
     return min(int(counts[length]) // n for length, n in held.items()), held, room
 
 
-def split_fit(lengths: Mapping[int, int], capacity: int, split: int) -> Plan:
+def split_fit(lengths: Mapping[int, int], capacity: int, split: int, below: float = math.inf) -> Plan | None:
     """Pieces over ``split`` with the largest piece that fits next to them, the others in the fullest fillings.
 
     Where sequences hold two or three pieces, the largest should stand in pairs, or they use up the short pieces that
-    make threes; which are the largest depends on the lengths.
+    make threes; which are the largest depends on the lengths. It ends with None as soon as the plan can't have fewer
+    sequences than ``below``.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in lengths.items():
         counts[length] = n
     plan: Plan = []
+    done = 0
     while len(have := np.flatnonzero(counts)):
+        if done + lower_bound(counts, capacity) >= below:
+            return None
         largest = int(have[-1])
         counts[largest] -= 1
         room = capacity - largest
@@ -394,26 +405,28 @@ def split_fit(lengths: Mapping[int, int], capacity: int, split: int) -> Plan:
         for length, n in held.items():
             counts[length] -= times * n
         plan.append((times, held))
+        done += times
     return plan
 
 
-def best_split(lengths: Mapping[int, int], capacity: int, enough: int) -> Plan:
-    """The best of ``split_fit`` over splits spread among the lengths, then over splits around the best one."""
+def best_split(lengths: Mapping[int, int], capacity: int, enough: int, below: float = math.inf) -> Plan:
+    """The best of ``split_fit`` over splits spread among the lengths, then over splits around the best one.
+
+    Plans that can't be the best are left unfinished. Of the second splits, none is wanted that isn't ``below`` as well.
+    """
     known = sorted(lengths)
     best: Plan | None = None
-    low, high = 0, len(known) - 1
+    low, high, fewest = 0, len(known) - 1, math.inf
     for _ in range(2):
         places = sorted({int(i) for i in np.linspace(low, high, SPLITS)})
-        tried = []
+        at = places[0]
         for place in places:
-            tried.append((split_fit(lengths, capacity, known[place]), place))
-            if sequences_of(tried[-1][0]) <= enough:
-                break
-        found, at = min(tried, key=lambda t: sequences_of(t[0]))
-        if best is None or sequences_of(found) < sequences_of(best):
-            best = found
-        if sequences_of(best) <= enough:
-            break
+            found = split_fit(lengths, capacity, known[place], fewest)
+            if found is not None:
+                best, at, fewest = found, place, sequences_of(found)
+            if fewest <= enough:
+                return best
+        fewest = min(fewest, below)
         around = places.index(at)
         low, high = places[max(0, around - 1)], places[min(len(places) - 1, around + 1)]
     return best
@@ -431,7 +444,7 @@ def plan_sequences(lengths: Mapping[int, int], capacity: int = CAPACITY, nodes:
     best = best_fit(lengths, capacity)
     fewest, least = sequences_of(best), lower_bound(counts, capacity)
     if fewest > least:
-        best = min(best, best_split(lengths, capacity, least), key=sequences_of)
+        best = min(best, best_split(lengths, capacity, least, fewest), key=sequences_of)
         fewest = sequences_of(best)
     tokens = int((counts * np.arange(capacity + 1)).sum())
     # Depth first: each entry is (counts, sequences so far, waste so far, link to the plan so far).

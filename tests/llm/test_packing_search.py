@@ -68,3 +68,16 @@ def test_lengths_between_a_third_and_a_half(seed, most):
 def test_plans_are_deterministic():
     lengths = Counter(np.random.default_rng(9).integers(300, 1500, 500).tolist())
     assert packing.plan_sequences(lengths) == packing.plan_sequences(lengths)
+
+
+def test_plans_that_cannot_be_the_best_are_left_unfinished(monkeypatch):
+    draw = np.random.default_rng(2)
+    lengths = dict(zip(*(v.tolist() for v in np.unique(draw.integers(600, 1000, 300), return_counts=True))))
+    known, fewest = sorted(lengths), None
+    for place in sorted({int(i) for i in np.linspace(0, len(known) - 1, packing.SPLITS)}):
+        plan = packing.split_fit(lengths, 2048, known[place])
+        n = packing.sequences_of(plan)
+        assert packing.split_fit(lengths, 2048, known[place], n) is None
+        assert packing.split_fit(lengths, 2048, known[place], n + 1) == plan
+        fewest = n if fewest is None else min(n, fewest)
+    assert packing.sequences_of(packing.best_split(lengths, 2048, 0)) <= fewest
