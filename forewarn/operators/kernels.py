@@ -21,6 +21,8 @@ from forewarn.functions.workers import lists, ship
 LENGTHS = (3, 5, 7, 9)
 # Windows that are convolved together.
 _ROWS = 512
+# Numbers in the matrix that stands for a whole bank; longer sequences go kernel by kernel.
+_DENSE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,43 @@ def responses(sequences: np.ndarray, kernel: Kernel) -> np.ndarray:
     return np.tensordot(own[:, places], kernel.weights, axes=([2, 3], [0, 1])) + kernel.bias
 
 
-def bank_features(sequences: np.ndarray, bank: Sequence[Kernel]) -> np.ndarray:
-    """The largest response and the share of positive ones, for each kernel."""
+@dataclass(frozen=True)
+class BankMatrix:
+    """All kernels at all of their places as columns over the flattened sequence; ``starts`` has each kernel's first."""
+
+    weights: np.ndarray  # (steps * channels, places of all kernels)
+    biases: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+
+
+def bank_matrix(bank: Sequence[Kernel], steps: int, channels: int) -> BankMatrix | None:
+    """The bank as one matrix, or None where that would be large."""
+    reaches = [(len(kernel.weights) - 1) * kernel.dilation for kernel in bank]
+    places = np.array([steps if kernel.padded else steps - reach for kernel, reach in zip(bank, reaches)])
+    if steps * channels * int(places.sum()) > _DENSE:
+        return None
+    starts = np.concatenate(([0], np.cumsum(places)[:-1]))
+    weights = np.zeros((steps, channels, int(places.sum())))
+    for kernel, reach, start, n in zip(bank, reaches, starts, places):
+        at = np.arange(n)
+        for tap, of_tap in enumerate(kernel.weights):
+            step = at + tap * kernel.dilation - (reach // 2 if kernel.padded else 0)
+            inside = (step >= 0) & (step < steps)
+            weights[step[inside][:, None], kernel.channels, start + at[inside][:, None]] = of_tap
+    biases = np.repeat([kernel.bias for kernel in bank], places)
+    return BankMatrix(weights.reshape(steps * channels, -1), biases, starts, places)
+
+
+def bank_features(sequences: np.ndarray, bank: Sequence[Kernel], whole: BankMatrix | None = None) -> np.ndarray:
+    """The largest response and the share of positive ones, for each kernel; ``whole`` is the bank as one matrix."""
     found = np.empty((len(sequences), 2 * len(bank)))
+    # A missing number must reach only the places that read it.
+    if whole is not None and np.isfinite(sequences).all():
+        out = sequences.reshape(len(sequences), -1) @ whole.weights + whole.biases
+        found[:, ::2] = np.maximum.reduceat(out, whole.starts, axis=1)
+        found[:, 1::2] = np.add.reduceat((out > 0).astype(np.float64), whole.starts, axis=1) / whole.places
+        return found
     for i, kernel in enumerate(bank):
         out = responses(sequences, kernel)
         found[:, 2 * i], found[:, 2 * i + 1] = out.max(axis=1), (out > 0).mean(axis=1)
@@ -80,7 +116,7 @@ def kernel_features(packed: DataFrame, seeds: Sequence[int], kernels: int = 128)
     wanted = [int(seed) for seed in seeds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        banks: dict[tuple[int, int, int], list[Kernel]] = {}
+        banks: dict[tuple[int, int, int], tuple[list[Kernel], BankMatrix | None]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
@@ -91,12 +127,13 @@ def kernel_features(packed: DataFrame, seeds: Sequence[int], kernels: int = 128)
                 for seed in wanted:
                     key = seed, steps, channels
                     if key not in banks:
-                        banks[key] = kernel_bank(*key, kernels)
+                        bank = kernel_bank(*key, kernels)
+                        banks[key] = bank, bank_matrix(bank, steps, channels)
                     yield pa.record_batch(
                         [
                             part["window_id"],
                             pa.array(np.full(part.num_rows, seed, np.int32)),
-                            lists(bank_features(sequences, banks[key])),
+                            lists(bank_features(sequences, *banks[key])),
                         ],
                         names=["window_id", "seed", "features"],
                     )

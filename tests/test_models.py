@@ -201,3 +201,14 @@ def test_fitted_regression_scores_after_an_observed_write(spark, tmp_path):
     model, _ = scoring.logistic_trainer()(data, None)
     scores = [r["probability"] for r in scoring.score_with(model, data).collect()]
     assert len(scores) == 60 and all(0 < score < 1 for score in scores)
+
+
+def test_whole_bank_gives_what_its_kernels_give():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(7, 12, 3))
+    bank = kernels.kernel_bank(5, 12, 3, 40)
+    whole = kernels.bank_matrix(bank, 12, 3)
+    np.testing.assert_allclose(kernels.bank_features(x, bank, whole), kernels.bank_features(x, bank), rtol=1e-12, atol=1e-12)
+    x[2, 4, 1] = np.nan
+    np.testing.assert_array_equal(kernels.bank_features(x, bank, whole), kernels.bank_features(x, bank))
+    assert kernels.bank_matrix(kernels.kernel_bank(5, 120, 9), 120, 9) is None
