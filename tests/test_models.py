@@ -1,11 +1,13 @@
 """Boosted trees against a plain numpy version, kernels against a flattened fit, and the grid from fit to thresholds."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from forewarn.functions.workers import lists
 from forewarn.operators import boosting, kernels, scoring
 from forewarn.operators.boosting import BoostParameters, Fit, fit_boosted
 
@@ -212,3 +214,35 @@ def test_whole_bank_gives_what_its_kernels_give():
     x[2, 4, 1] = np.nan
     np.testing.assert_array_equal(kernels.bank_features(x, bank, whole), kernels.bank_features(x, bank))
     assert kernels.bank_matrix(kernels.kernel_bank(5, 120, 9), 120, 9) is None
+
+
+def test_a_batch_is_read_once_for_all_fits(monkeypatch):
+    """Twelve fits on one part must not decode the part's rows twelve times."""
+    read, plain = [], boosting._Rows
+
+    class Counted(plain):
+        def __init__(self, *args):
+            read.append(1)
+            super().__init__(*args)
+
+    class Local:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def collect(self):
+            return [row for out in self.run(iter([batch])) for row in out.to_pylist()]
+
+    x, y = noisy(40)
+    batch = pa.record_batch(
+        [
+            pa.array(["p"] * 40), pa.array([bytes(row) for row in (np.nan_to_num(x) > 0).astype(np.uint8)], pa.binary()),
+            lists(np.asarray(y, float).reshape(-1, 1)), pa.array(range(40)), pa.array([False] * 40), lists(np.zeros((40, 12))),
+        ],
+        names=["part", "bins", "labels", "key", "is_validation", "margins"],
+    )
+    monkeypatch.setattr(boosting, "_Rows", Counted)
+    width = x.shape[1]
+    jobs = [boosting._begin(boosting._Job(i, Fit("p", 0, i), i, 1.0, ()), 0, PLAIN, width) for i in range(12)]
+    found = boosting._histograms(Local(), jobs, 0, PLAIN, width, 1)
+    assert len(read) == 1 and set(found) == {(i, 1) for i in range(12)}
