@@ -27,11 +27,10 @@ from typing import Iterator, Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from forewarn.llm import logistic
 from forewarn.llm.common import enter, forget_after, map_rows, ship, slices, stage_table, with_changed
 
 NOTHING, ACCEPT, REJECT = 0, 1, 2
@@ -231,7 +230,6 @@ def fit_scorers(
     def places(content: str | None) -> tuple[list[int]]:
         return (features(*votes(content)),)
 
-    vector = F.udf(lambda p: SparseVector(WIDTH, p, [1.0] * len(p)), VectorUDT())
     scorers = {}
     for task, (_, chances, sizes) in models.items():
         # Repeated rows are one example that weighs as many times more.
@@ -259,18 +257,9 @@ def fit_scorers(
         rows = rows.groupBy("doc_id", "hash").agg(*[F.first(c).alias(c) for c in ("text", "good", "stands")])
         rows = stage_table(with_changed(rows.select("text", "good", "stands"), ["text"], ["places"], places, "array<int>").drop("text"), "weak-train")
         # A row counts for both classes, as much as it is likely to be of each.
-        sides = F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("good").alias("chance")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("good")).alias("chance")),
-        )
-        train = rows.select(vector("places").alias("features"), "stands", F.explode(sides).alias("side"))
-        train = train.where("side.chance > 0.001").selectExpr("features", "side.label", "side.chance * stands AS weight")
-        regression = LogisticRegression(
-            weightCol="weight", maxIter=ITERATIONS, regParam=REGULARISATION, standardization=False
-        )
-        # Few partitions: each sends a vector of WIDTH numbers in every iteration.
-        model = regression.fit(train.coalesce(4))
-        scorers[task] = np.asarray(model.coefficients.toArray()), float(model.intercept)
+        side = lambda chance: F.when(chance > 0.001, chance * F.col("stands")).otherwise(0.0)
+        train = rows.select("places", side(F.col("good")).alias("up"), side(1 - F.col("good")).alias("down"))
+        scorers[task] = logistic.fit(train, WIDTH, REGULARISATION, ITERATIONS)
     return scorers
 
 

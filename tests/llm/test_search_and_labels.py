@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from forewarn.llm import pii, topk, weak_labels
+from forewarn.llm import logistic, pii, topk, weak_labels
 from forewarn.llm.queries import QUERIES, SQL
 from tests.llm import brute
 from tests.sqlcheck import connect, differences
@@ -248,3 +248,35 @@ def test_pipeline_runs_on_extra_columns_and_nulls(spark, sf_dir, tmp_path):
             assert out.columns == docs.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()
+
+
+def test_scorer_fit_keeps_the_drivers_heap_small(spark, monkeypatch):
+    """Weights end at the least value, one class has none, and the fit of the scorers leaves MLlib's optimiser alone."""
+    rng = np.random.default_rng(3)
+    n, width, penalty = 600, 40, 0.01
+    x = (rng.random((n, width)) < rng.random(width) * 0.5).astype(float)
+    x[:, 7] = 0
+    x[:, 0] = 1
+    chance = 1 / (1 + np.exp(-x @ rng.normal(size=width)))
+    up, down = chance * rng.integers(1, 4, n), (1 - chance) * rng.integers(1, 4, n)
+    rows = [([int(p) for p in np.flatnonzero(r)], float(u), float(d)) for r, u, d in zip(x, up, down)]
+    kind = "places array<int>, up double, down double"
+    weights, bias = logistic.fit(spark.createDataFrame(rows, kind).repartition(3), width, penalty, 100)
+    ones, exact = np.hstack([x, np.ones((n, 1))]), np.zeros(width + 1)
+    held, total = np.append(np.full(width, penalty), 0), (up + down).sum()
+    for _ in range(50):  # Newton
+        p = 1 / (1 + np.exp(-ones @ exact))
+        slope = ones.T @ ((up + down) * p - up) / total + held * exact
+        exact -= np.linalg.solve((ones.T * ((up + down) * p * (1 - p))) @ ones / total + np.diag(held), slope)
+    # Each round stops at a gain of a millionth of the loss.
+    assert np.abs(np.append(weights, bias) - exact).max() < 0.02
+    assert weights[7] == 0
+    weights, bias = logistic.fit(spark.createDataFrame([([0], 1.0, 0.0), ([1], 2.0, 0.0)], kind), 2, penalty, 5)
+    assert not weights.any() and bias == np.inf
+
+    from pyspark.ml.classification import LogisticRegression
+
+    monkeypatch.setattr(LogisticRegression, "fit", None)
+    docs = spark.createDataFrame([(i, f"plain words number {i} stand here" if i % 2 else "$$$ ### @@@ ***") for i in range(60)], "doc_id long, text string")
+    kept = weak_labels.keep_good(docs, weak_labels.fit_scorers(docs, None))
+    assert {r.doc_id % 2 for r in kept.collect()} == {1}
